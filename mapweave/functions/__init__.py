@@ -1,0 +1 @@
+"""Column functions: geometry, tag rules, JSON text."""

@@ -1,0 +1 @@
+"""Registration, binding, stitching, relations and features."""

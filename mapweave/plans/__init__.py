@@ -1,0 +1 @@
+"""Relational twins of the operators."""

@@ -1,0 +1 @@
+"""Documents, their readers, and sinks."""

@@ -1,0 +1 @@
+"""Conversion of arriving files."""
