@@ -1,33 +1,348 @@
-"""Relational twins of the engine's operators on the star-schema tables."""
+"""Relational twins of the engine's operators on the star-schema tables.
+
+Each query uses the operator's own Column functions or DataFrame operators
+where they fit the tables, and has the same result in SQL beside it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions import geometry as G
+from mapweave.functions.rules import is_area
+from mapweave.functions.text import merged, without_keys
+from mapweave.operators import registry as R
+from mapweave.operators.features import to_features
+from mapweave.operators.stitch import stitched
+from mapweave.options import Options
+from mapweave.sources.detect import detect_format
+from mapweave.sources.documents import to_elements
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def long(c: Column) -> Column:
+    return c.cast("long")
+
+
+@query("""
+    SELECT kind, format, count(*) AS n FROM (
+        SELECT kind, CASE WHEN contains(t, '<osm') THEN 'xml' WHEN starts_with(regexp_replace(t, '^\\s+', ''), '{') THEN 'json' ELSE 'invalid' END AS format
+        FROM (SELECT 'event' AS kind, props AS t FROM events UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'page', html FROM pages)
+    ) GROUP BY kind, format""")
+def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [table(spark, sf_dir, t, c).select(F.lit(k).alias("kind"), F.col(c).alias("t")) for k, t, c in (("event", "events", "props"), ("document", "documents", "text"), ("page", "pages", "html"))]
+    every = texts[0].unionByName(texts[1]).unionByName(texts[2])
+    return every.groupBy("kind", detect_format(F.coalesce("t", F.lit(""))).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([^ >/]+)', 1)) AS tag FROM pages) GROUP BY tag")
+def xml_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "pages", "html").select(F.explode(F.regexp_extract_all("html", F.lit("<([^ >/]+)"), F.lit(1))).alias("tag"))
+    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT name, value, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(html, '([^ ]+?)="(.+?)"', 1)) AS name, unnest(regexp_extract_all(html, '([^ ]+?)="(.+?)"', 2)) AS value FROM pages
+    ) GROUP BY name, value""")
+def xml_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [F.regexp_extract_all("html", F.lit('([^ ]+?)="(.+?)"'), F.lit(i)) for i in (1, 2)]
+    pairs = table(spark, sf_dir, "pages", "html").select(F.explode(F.arrays_zip(found[0].alias("name"), found[1].alias("value"))).alias("a")).select("a.*").toDF("name", "value")
+    return pairs.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""
+    SELECT event_id, k, v FROM (
+        SELECT event_id, 'user' AS k, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events
+    ) WHERE k NOT IN ('user', 'absent')""")
+def purge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    props = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"))
+    return rows.select("event_id", F.explode(without_keys(props, F.array(F.lit("user"), F.lit("absent")))).alias("k", "v"))
+
+
+@query("""
+    SELECT event_id, k, v FROM (
+        SELECT event_id, 'type' AS k, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE event_type END AS v FROM events
+        UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events
+        UNION ALL SELECT event_id, 'parity', 'even' FROM events WHERE user_id % 2 = 0)""")
+def merge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    own = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
+    over = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("type"), F.lit("even"), F.lit("parity"), F.lit("even"))).otherwise(F.create_map().cast("map<string,string>"))
+    return rows.select("event_id", own.alias("own"), over.alias("over")).select("event_id", F.explode(merged(F.col("own"), F.col("over"))).alias("k", "v"))
 
+
+@query("SELECT 'event/' || event_id AS id, 'Point' AS kind, value AS x, CAST(user_id AS DOUBLE) AS y FROM events")
+def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    return rows.select(F.concat_ws("/", F.lit("event"), F.col("event_id").cast("string")).alias("id"), F.lit("Point").alias("kind"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
+
+
+@query("SELECT user_id, min(event_id) AS first_pos, max(event_id) AS last_pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def registry_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    won = rows.groupBy("user_id").agg(F.min("event_id").alias("first_pos"), F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("x"))
+    return won.select("user_id", "first_pos", F.col("x.event_id").alias("last_pos"), "x.event_type", "x.value")
+
+
+@query("""
+    SELECT l_orderkey AS order_key, count(*) AS n_points,
+           string_agg(p_size || ' ' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY l_orderkey""")
 def late_bind_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a line through the positions of its parts, in line order; parts that are absent drop out."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= 25).select("p_partkey", "p_size", "p_retailprice")
-    bound = items.join(parts, items.l_partkey == parts.p_partkey)
-    point = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_size", "p_retailprice")
-    lines = bound.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(point)).alias("points"))
-    return lines.select(
-        F.col("l_orderkey").alias("order_key"),
-        F.size("points").cast("long").alias("n_points"),
-        F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["p_size"].cast("string"), p["l_partkey"].cast("string"))), ",").alias("line"),
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"late_bind_lines": late_bind_lines}
-ORACLE_SQL: dict[str, str] = {
-    "late_bind_lines": """
-        SELECT l_orderkey AS order_key, count(*) AS n_points,
-               string_agg(p_size || ' ' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line
-        FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE p_size <= 25
-        GROUP BY l_orderkey""",
-}
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= 25).select("p_partkey", "p_size")
+    point = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_size")
+    lines = items.join(parts, items.l_partkey == parts.p_partkey).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["p_size"].cast("string"), p["l_partkey"].cast("string"))), ",")
+    return lines.select(F.col("l_orderkey").alias("order_key"), long(F.size("points")).alias("n_points"), text.alias("line"))
+
+
+@query("SELECT p_partkey AS part_key, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY p_partkey")
+def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "part", "p_partkey").join(refs, "p_partkey", "left").select(F.col("p_partkey").alias("part_key"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT p_partkey AS part_key FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
+def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part", "p_partkey").join(refs, "p_partkey", "left_anti").select(F.col("p_partkey").alias("part_key"))
+
+
+_SKIP = """
+    WITH e AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'way' WHEN p_size % 3 = 1 THEN 'node' ELSE 'relation' END AS type, p_partkey % 2 = 0 AS tagged,
+                      EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) AS referenced FROM part)
+    SELECT p_partkey AS part_key, type FROM e WHERE """
+
+
+def _skip_filter(spark: SparkSession, sf_dir: str, options: Options) -> DataFrame:
+    refs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.lit(True).alias("hit"))
+    kind = F.when(F.col("p_size") % 3 == 0, "way").when(F.col("p_size") % 3 == 1, "node").otherwise("relation")
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_size").join(refs, "p_partkey", "left")
+    rows = parts.select("p_partkey", kind.alias("type"), (F.col("p_partkey") % 2 == 0).alias("tagged"), F.coalesce("hit", F.lit(False)).alias("referenced"))
+    return rows.where(R.is_kept(options)).select(F.col("p_partkey").alias("part_key"), "type")
+
+
+@query(_SKIP + "NOT referenced")
+def skip_filter_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skip_filter(spark, sf_dir, Options())
+
+
+@query(_SKIP + "NOT referenced OR (tagged AND type <> 'way')")
+def skip_filter_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skip_filter(spark, sf_dir, Options(tagged=True))
+
+
+@query(_SKIP + "NOT referenced OR tagged")
+def skip_filter_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skip_filter(spark, sf_dir, Options(tagged=True, exclude_ways=False))
+
+
+_KEYS = ("building", "highway", "natural", "name", "man_made", "waterway")
+_VALUES = ("services", "cliff", "yes", "dam", "pipeline")
+
+
+@query("""
+    WITH t AS (
+        SELECT p_partkey, i, ['building', 'highway', 'natural', 'name', 'man_made', 'waterway'][1 + (p_partkey * (i + 1) + p_size) % 6] AS k,
+               ['services', 'cliff', 'yes', 'dam', 'pipeline'][1 + (p_partkey + i * p_size) % 5] AS v
+        FROM part, (SELECT unnest([0, 1, 2]) AS i)),
+    r AS (
+        SELECT p_partkey, i, CASE k WHEN 'building' THEN true WHEN 'highway' THEN v IN ('services', 'rest_area', 'escape', 'elevator')
+            WHEN 'waterway' THEN v IN ('riverbank', 'dock', 'boatyard', 'dam') WHEN 'natural' THEN v NOT IN ('coastline', 'cliff', 'ridge', 'arete', 'tree_row')
+            WHEN 'man_made' THEN v NOT IN ('cutline', 'embankment', 'pipeline') END AS verdict FROM t)
+    SELECT p_partkey AS part_key, coalesce(arg_max(verdict, i) FILTER (WHERE verdict IS NOT NULL), false) AS area FROM r GROUP BY p_partkey""")
+def polygon_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    keys, values = F.array(*map(F.lit, _KEYS)), F.array(*map(F.lit, _VALUES))
+    tags = F.array(*(F.struct(F.get(keys, ((key * (i + 1) + size) % 6).cast("int")).alias("k"), F.get(values, ((key + i * size) % 5).cast("int")).alias("v")) for i in range(3)))
+    return table(spark, sf_dir, "part", "p_partkey", "p_size").select(key.alias("part_key"), is_area(tags).alias("area"))
+
+
+_RINGS = """
+    WITH p AS (
+        SELECT l_orderkey AS k, list([CAST(l_partkey % 50 AS DOUBLE), CAST(l_suppkey % 50 AS DOUBLE)] ORDER BY l_linenumber, l_partkey, l_suppkey) AS a FROM lineitem GROUP BY l_orderkey),
+    r AS (SELECT k, CASE WHEN k % 4 > 0 THEN list_append(a, a[1]) ELSE a END AS a FROM p),
+    q AS (SELECT k, a, len(a) AS n, len(a) > 3 AND a[1] = a[len(a)] AS ring FROM r) """
+_TURN = """,
+    m AS (SELECT k, a, n, list_sort(list_transform(range(1, n + 1), lambda i: {'x': a[i][1], 'i': i}))[-1].i AS m FROM q WHERE ring),
+    s AS (SELECT k, a, a[CASE WHEN m = 1 THEN n - 1 ELSE m - 1 END] AS l, a[m] AS c, a[CASE WHEN m = n THEN 2 ELSE m + 1 END] AS r FROM m),
+    d AS (SELECT k, a, (c[1] - l[1]) * (r[2] - l[2]) - (r[1] - l[1]) * (c[2] - l[2]) < 0 AS clockwise FROM s) """
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = items.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("p"))
+    lines = lines.select("order_key", F.transform("p", lambda p: F.array((p["l_partkey"] % 50).cast("double"), (p["l_suppkey"] % 50).cast("double"))).alias("a"))
+    return lines.select("order_key", F.when(F.col("order_key") % 4 > 0, F.concat("a", F.array(F.get("a", 0)))).otherwise(F.col("a")).alias("a"))
+
+
+@query(_RINGS + "SELECT k AS order_key, ring FROM q")
+def ring_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).select("order_key", G.is_ring(F.col("a")).alias("ring"))
+
+
+@query(_RINGS + _TURN + "SELECT k AS order_key, clockwise FROM d")
+def ring_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).where(G.is_ring(F.col("a"))).select("order_key", G.is_clockwise(F.col("a")).alias("clockwise"))
+
+
+@query(_RINGS + _TURN + """SELECT k AS order_key, array_to_string(list_transform(CASE WHEN clockwise THEN list_reverse(a) ELSE a END, lambda p: CAST(CAST(p[1] AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(p[2] AS BIGINT) AS VARCHAR)), ',') AS ring FROM d""")
+def orient_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = _rings(spark, sf_dir).where(G.is_ring(F.col("a"))).select("order_key", G.oriented(F.col("a"), False).alias("a"))
+    text = F.array_join(F.transform("a", lambda p: F.concat_ws(" ", F.get(p, 0).cast("long").cast("string"), F.get(p, 1).cast("long").cast("string"))), ",")
+    return rings.select("order_key", text.alias("ring"))
+
+
+_AREAS = (
+    [[-0.1, -0.1], [0.1, -0.1], [0.1, 0.1], [-0.1, 0.1], [-0.1, -0.1]],
+    [[0.0, -0.3], [0.3, 0.0], [0.0, 0.3], [-0.3, 0.0], [0.0, -0.3]],
+    [[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0], [-1.0, -1.0]],
+)
+_INSIDE = (
+    "WITH a AS (SELECT unnest([1, 2, 3]) AS area, unnest(CAST('" + str([list(r) for r in _AREAS]) + "' AS DOUBLE[][][])) AS r), "
+    "e AS (SELECT area, r[i] AS q, r[CASE WHEN i = 1 THEN len(r) ELSE i - 1 END] AS p FROM a, unnest(range(1, len(r) + 1)) AS t(i)), "
+    "v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), "
+    "h AS (SELECT vec_id, area, count(*) FILTER (WHERE ((q[1] <= x AND x < p[1]) OR (p[1] <= x AND x < q[1])) AND y < (p[2] - q[2]) * (x - q[1]) / (p[1] - q[1]) + q[2]) % 2 = 1 AS inside FROM v, e GROUP BY vec_id, area) "
+)
+
+
+def _areas() -> Column:
+    return F.array(*(F.array(*(F.array(*(F.lit(float(x)) for x in p)) for p in ring)) for ring in _AREAS))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.array(F.get("embedding", 0).cast("double"), F.get("embedding", 1).cast("double")).alias("p"))
+
+
+@query(_INSIDE + "SELECT vec_id, area, inside FROM h")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _vectors(spark, sf_dir).select("vec_id", "p", F.posexplode(_areas()).alias("i", "ring"))
+    return each.select("vec_id", (F.col("i") + 1).alias("area"), G.contains(F.col("ring"), F.col("p")).alias("inside"))
+
+
+@query(_INSIDE + "SELECT vec_id, min(area) FILTER (WHERE inside) AS area FROM h GROUP BY vec_id")
+def assign_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _vectors(spark, sf_dir).select("vec_id", F.transform(_areas(), lambda ring: G.contains(ring, F.col("p"))).alias("hits"))
+    at = F.array_position("hits", F.lit(True)).cast("int")
+    return hits.select("vec_id", F.when(at > 0, at).alias("area"))
+
+
+@query("""
+    WITH RECURSIVE edges AS (
+        SELECT 'r' || n_regionkey AS above, 'n' || n_nationkey AS below FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+    tree AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 'r' || r_regionkey AS path, 0 AS depth FROM region
+             UNION ALL SELECT root, below, path || '/' || below, depth + 1 FROM tree JOIN edges ON above = id)
+    SELECT root, id, path, CAST(depth AS BIGINT) AS depth FROM tree""")
+def relation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def edges(name: str, above: str, up: str, below: str, down: str) -> DataFrame:
+        return table(spark, sf_dir, name, up, down).select(F.concat(F.lit(above), F.col(up).cast("string")).alias("above"), F.concat(F.lit(below), F.col(down).cast("string")).alias("below"))
+
+    every = edges("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edges("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(edges("supplier", "n", "s_nationkey", "s", "s_suppkey"))
+    root = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
+    front = table(spark, sf_dir, "region", "r_regionkey").select(root.alias("root"), root.alias("id"), root.alias("path"), F.lit(0).cast("long").alias("depth"))
+    out = front
+    for _ in range(2):
+        front = front.join(every, front.id == every.above).select("root", F.col("below").alias("id"), F.concat_ws("/", "path", "below").alias("path"), (F.col("depth") + 1).alias("depth"))
+        out = out.unionByName(front)
+    return out
+
+
+@query("SELECT o_custkey AS cust_key, bool_or(o_orderstatus = 'F') AS area, count(*) AS n_roles FROM orders GROUP BY o_custkey")
+def role_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").groupBy(F.col("o_custkey").alias("cust_key")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("area"), F.count(F.lit(1)).alias("n_roles"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey, o_orderstatus AS role, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    w AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_totalprice >= 100000)
+    SELECT w.o_custkey AS cust_key, o_orderkey AS order_key, role FROM w JOIN r ON w.o_custkey = r.o_custkey AND w.n = r.n""")
+def role_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members that don't exist leave the ways but not the roles."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    grouped = orders.groupBy(F.col("o_custkey").alias("cust_key")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", (F.col("o_totalprice") >= 100000).alias("exists")))).alias("all"))
+    ways = F.transform(F.filter("all", lambda x: x["exists"]), lambda x, i: F.struct(x["o_orderkey"].alias("order_key"), F.get(F.col("all"), i)["o_orderstatus"].alias("role")))
+    return grouped.select("cust_key", F.explode(ways).alias("w")).select("cust_key", "w.order_key", "w.role")
+
+
+@query()
+def stitch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's items as two-point lines, stitched in line order."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    grouped = items.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("p"))
+
+    def point(v: Column) -> Column:
+        return F.struct((v % 7).cast("double").alias("x"), F.lit(0.0).alias("y"), (v % 7).cast("string").alias("key"))
+
+    ways = F.transform("p", lambda p: F.array(point(p["l_partkey"]), point(p["l_suppkey"])))
+    part = F.struct(F.array().cast("array<int>").alias("path"), ways.alias("ways"), F.array().cast("array<string>").alias("roles"))
+    made = grouped.select("order_key", stitched(F.array(part), F.lit(False)).alias("s"))
+    return made.select("order_key", long(F.size("s.line")).alias("n_lines"), F.to_json("s.line").alias("lines"))
+
+
+@query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE value > 50), 'none') AS first_type, count(*) AS n FROM events GROUP BY user_id")
+def first_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    first = F.min(F.when(F.col("value") > 50, F.struct("event_id", "event_type")))
+    return rows.groupBy("user_id").agg(F.coalesce(first["event_type"], F.lit("none")).alias("first_type"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT c_custkey AS cust_key, '{"type":"FeatureCollection","features":[' || coalesce(string_agg('{"type":"Feature","id":"order/' || o_orderkey || '"}', ',' ORDER BY o_orderkey), '') || ']}' AS geojson
+    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY c_custkey""")
+def feature_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")
+    feature = F.concat(F.lit('{"type":"Feature","id":"order/'), F.col("o_orderkey").cast("string"), F.lit('"}'))
+    grouped = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", feature.alias("json")))).alias("f"))
+    body = F.coalesce(F.array_join(F.transform("f", lambda f: f["json"]), ","), F.lit(""))
+    return table(spark, sf_dir, "customer", "c_custkey").join(grouped, "c_custkey", "left").select(F.col("c_custkey").alias("cust_key"), F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("geojson"))
+
+
+@query("SELECT p_partkey AS part_key, TRY_CAST(regexp_extract(p_size || '.' || p_partkey || 'e' || p_brand, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE) AS number FROM part")
+def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand")
+    text = F.concat(F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.lit("e"), "p_brand")
+    return rows.select(F.col("p_partkey").alias("part_key"), G.parse_float(text).alias("number"))
+
+
+@query("""
+    SELECT 'order/' || l_orderkey AS doc_id, 'way/1' AS id,
+           '{"type":"LineString","coordinates":[' || string_agg('[' || l_partkey % 90 || '.0,' || l_suppkey % 90 || '.0]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']}' AS geometry
+    FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
+def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a JSON document of nodes and one way through them, converted by the whole engine."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    row = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    node = F.struct(F.lit("node").alias("type"), F.col("n").alias("id"), (F.col("l_partkey") % 90).alias("lon"), (F.col("l_suppkey") % 90).alias("lat"))
+    grouped = items.withColumn("n", F.row_number().over(row)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", node.alias("node")))).alias("all"))
+    way = F.to_json(F.struct(F.lit("way").alias("type"), F.lit(1).alias("id"), F.transform("all", lambda x: x["n"]).alias("nodes")))
+    payload = F.concat(F.lit('{"elements":['), way, F.lit(","), F.array_join(F.transform("all", lambda x: F.to_json(x["node"])), ","), F.lit("]}"))
+    documents = grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), payload.alias("payload"))
+    return to_features(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
