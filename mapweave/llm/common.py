@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ ASCII_LOWER = ASCII_UPPER.lower()
 WHITE = " \t\n\x0b\x0c\r"
 
 
+ROWS_PER_TASK = 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a driver table; other columns never reach the plan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -28,14 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of what came before."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of what came before.
+
+    narrow: rows of a few numbers, which are written in at most four files a core.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` on the executors' disks, with its row count: for narrow work on whole texts that is needed twice. What a lost executor held is computed again from the input."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    return df, df.count()
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """At least ``ROWS_PER_TASK`` rows to a task, for cheap work on rows of a few numbers; no shuffle."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

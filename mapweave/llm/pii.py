@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import count_kind, regex_spans, span_text, stage
+from mapweave.llm.common import count_kind, gathered, kept_rows, regex_spans, span_text
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -164,10 +164,10 @@ def _score(span: Column, weights: dict[tuple, float]) -> Column:
 
 def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``base`` and ``spans``: sorted arrays of struct<start, end, rank, kind>."""
-    staged = stage(candidates(docs, keep), "pii")
+    staged, n = kept_rows(candidates(docs, keep))
     counts = staged.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes").count().collect()
     weights = train({(r["kind"], tuple(r["votes"])): r["count"] for r in counts})
-    return accept(staged, weights, keep)
+    return accept(staged if "text" in keep else gathered(staged, n), weights, keep)
 
 
 def accept(staged: DataFrame, weights: dict[tuple, float], keep: tuple[str, ...]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality rules: a decision list learned by sequential covering, applied as Spark conditions.
 
-Statistics of whole texts are Spark expressions, taken once and staged. A
+Statistics of whole texts are Spark expressions, taken once and kept on disk. A
 bounded sample of labelled rows (``max_labelled``, chosen by a hash of the
 key over all labels) goes to the driver, where rules for the bad class are
 grown condition by condition on two thirds and pruned on the rest. The list
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import WHITE, stage
+from mapweave.llm.common import WHITE, gathered, kept_rows
 
 SPLIT = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -183,7 +183,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
 
 def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``keep``, the base counts, base_failed, rule (0: none) and kept."""
-    stats = stage(statistics(docs, keep), "quality")
+    stats, n = kept_rows(statistics(docs, keep))
     rules = fit(stats, labels, max_labelled)
-    rows = stats.select(*keep, *BASE, base_failed().alias("base_failed"), decision(rules).alias("rule"))
+    rows = gathered(stats, n).select(*keep, *BASE, base_failed().alias("base_failed"), decision(rules).alias("rule"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import stage
+from mapweave.llm.common import kept_rows
 
 ROWS_PER_BUCKET = 50_000
 
@@ -48,8 +48,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, weights: Sequence[float]
         rendezvous(F.col("doc_id"), [*weights, 1.0]).alias("grown_shard"),
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)).alias("salt"),
     )
-    rows = stage(rows, "shards")
-    n = rows.count()
+    rows, n = kept_rows(rows)
     buckets = max(16, -(-n // (len(weights) * ROWS_PER_BUCKET)))
     rows = rows.withColumn("bucket", F.pmod("salt", F.lit(buckets)))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
