@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,15 +174,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limits: Limits | None =
         import public_tokenizers
 
         encode = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        packer = Packer(limits, TaskContext.get().partitionId() << 40)
+        packer = None
         for rows in batches:
+            if not len(rows):
+                continue
+            packer = packer or Packer(limits, int(rows["_part"].iloc[0]) << 40)
             starts = rows["loss_from"].fillna(0) if masked else [0] * len(rows)
             for doc, text, loss_from in zip(rows["doc_id"], rows["text"], starts, strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END_ID))
                 packer.add(Piece(doc, 0, ids, len(ids), int(loss_from)))
             yield pd.DataFrame(packer.take(), columns=["doc_id", *PIECES])
-        packer.finish()
-        yield pd.DataFrame(packer.take(), columns=["doc_id", *PIECES])
+        if packer:
+            packer.finish()
+            yield pd.DataFrame(packer.take(), columns=["doc_id", *PIECES])
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} long" for c in PIECES)])
-    return docs.select("doc_id", F.col("text"), *(["loss_from"] if masked else [])).mapInPandas(run, schema)
+    # sequences are numbered within partitions, whose number is a column: a task may be given several
+    return docs.select("doc_id", "text", *(["loss_from"] if masked else []), F.spark_partition_id().alias("_part")).mapInPandas(run, schema)
