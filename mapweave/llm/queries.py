@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mapweave.llm import chat_format, decontaminate, lm_score, near_dedup, packing, pii, quality_rules, secrets, sharding, url_filter
 from mapweave.llm.common import table
+from mapweave.llm.oracles import ORACLE_SQL
 
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -55,4 +56,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_near_dedup, op3_pii, op4_sharding, op5_lm_score, op6_packing, op7_secret_scan, op8_decontaminate, op9_url_filter, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
