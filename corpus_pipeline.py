@@ -19,14 +19,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and the learned rules keep."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    judged = quality_rules.judge(docs, labels)
-    return docs.select(*COLUMNS).join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return quality_rules.judge(docs, labels, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates; of rows that repeat it, one."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return near_dedup.without_duplicates(docs.select(*COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,5 +185,5 @@ def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     """``keep``, the base counts, base_failed, rule (0: none) and kept."""
     stats, n = kept_rows(statistics(docs, keep))
     rules = fit(stats, labels, max_labelled)
-    rows = gathered(stats, n).select(*keep, *BASE, base_failed().alias("base_failed"), decision(rules).alias("rule"))
+    rows = (stats if "text" in keep else gathered(stats, n)).select(*keep, *BASE, base_failed().alias("base_failed"), decision(rules).alias("rule"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
