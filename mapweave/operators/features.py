@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,10 @@ def to_features(elements: DataFrame, options: Options | dict | None = None) -> D
     Skipped elements fall away before any geometry is built for them.
     """
     o = Options.of(options)
+    # read several times; what a lost executor held is computed again
+    elements = elements.persist(StorageLevel.MEMORY_AND_DISK)
     every = R.instances(elements)
-    won = R.registry(every)
+    won = R.registry(every).persist(StorageLevel.MEMORY_AND_DISK)
     kept = R.with_references(won, R.references(every)).where(R.is_kept(o))
     bound = R.bind_ways(every, won)
     none = F.lit(None).cast("array<double>")
