@@ -30,8 +30,8 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELE
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
-r AS (SELECT doc_id AS root, doc_id AS at FROM w UNION SELECT root, b FROM r JOIN l ON a = at),
-m AS (SELECT root AS doc_id, min(at) AS component_id FROM r GROUP BY root)
+r AS (SELECT doc_id AS root, doc_id AS here FROM w UNION SELECT root, b FROM r JOIN l ON a = here),
+m AS (SELECT root AS doc_id, min(here) AS component_id FROM r GROUP BY root)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
