@@ -248,11 +248,10 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("i") + 1).alias("area"), G.contains(F.col("ring"), F.col("p")).alias("inside"))
 
 
-@query(_INSIDE + "SELECT vec_id, min(area) FILTER (WHERE inside) AS area FROM h GROUP BY vec_id")
+@query(_INSIDE + "SELECT vec_id, coalesce(min(area) FILTER (WHERE inside), 0) AS area FROM h GROUP BY vec_id")
 def assign_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _vectors(spark, sf_dir).select("vec_id", F.transform(_areas(), lambda ring: G.contains(ring, F.col("p"))).alias("hits"))
-    at = F.array_position("hits", F.lit(True)).cast("int")
-    return hits.select("vec_id", F.when(at > 0, at).alias("area"))
+    return hits.select("vec_id", F.array_position("hits", F.lit(True)).cast("int").alias("area"))
 
 
 @query("""
