@@ -11,13 +11,14 @@
    nearest neighbours. Neighbours across two ranges meet in a small extra
    group per border.
 3. Candidates that sizes or signatures rule out fall away; the others are
-   confirmed on full shingle sets. The nearest neighbours of two trees come
-   first; the rest are confirmed only where they would join two components,
-   so a large group of copies never emits its pairs.
+   confirmed on full shingle sets. A first round takes each row's nearest
+   neighbours and contracts what they link; the second takes all pairs of
+   regions that lie in different components, so a large group of copies never
+   emits its pairs.
 4. Components by minimum labels with pointer jumping, all in shared storage.
 
 A pair of similarity s shares a region with probability
-1 - (1 - s**DEPTH)**TREES: 0.9999 at s = 0.75.
+1 - (1 - s**DEPTH)**TREES: at least 1 - 3e-8 at s = 0.75.
 
 Defined results: a text with fewer words than a shingle is one shingle; a
 null, empty or wordless text has none and is linked with nothing; rows that
@@ -33,22 +34,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import shuffle_partitions, stage
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-TREES, DEPTH, LEVELS = 24, 4, 8
+TREES, DEPTH, LEVELS = 32, 3, 8
 SIZE = TREES * DEPTH
-REGION, NEIGHBOURS = 32, 4
-FIRST_TREES = 2
+REGION, NEIGHBOURS = 40, 4
 #: The least estimate of a candidate: 0.75 stands 5.7 standard deviations above it.
 LEAST_ESTIMATE = 0.5
 ROWS_PER_RANGE = 20_000
-CACHED_WORDS = 500_000
+#: The filter of ids is this many 64-bit words at most: some 10 MB where it is broadcast.
+FILTER_WORDS = 1 << 18
+CACHED_WORDS = 100_000
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -130,6 +131,9 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": rows["doc_id"], "n_shingles": counts, "key": keys, "sig": signatures})
 
 
+TREE_ROW = "tree int, k1 long, k2 long, rep long, n long, label long"
+
+
 def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if not len(rows):
@@ -138,90 +142,105 @@ def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for tree in range(TREES):
             values = sig[:, _COLUMNS[tree]].astype(">u2")
             packed = np.ascontiguousarray(values).view(">i8").astype(np.int64)
-            yield pd.DataFrame({"tree": np.int32(tree), "k1": packed[:, 0], "k2": packed[:, 1], "rep": rows["rep"], "n": rows["n_shingles"]})
+            yield pd.DataFrame({"tree": np.int32(tree), "k1": packed[:, 0], "k2": packed[:, 1], "rep": rows["rep"], "n": rows["n_shingles"], "label": rows["label"]})
 
 
 def _regions(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> list[np.ndarray]:
     """For sorted rows, the number of the row's region at depth DEPTH, DEPTH + 1, ... LEVELS."""
-    same = (tree[1:] == tree[:-1]) & (k1[1:] == k1[:-1])
-    apart = (k2[1:] ^ k2[:-1]).view(np.uint64)
+    one_tree = tree[1:] == tree[:-1]
+    first, second = ((k[1:] ^ k[:-1]).view(np.uint64) for k in (k1, k2))
     out = []
     for depth in range(DEPTH, LEVELS + 1):
-        within = same & (apart >> np.uint64(16 * (LEVELS - depth)) == 0) if depth > DEPTH else same
+        # each key holds four values, the earliest in its highest bits
+        within = one_tree & (first >> np.uint64(16 * max(0, 4 - depth)) == 0)
+        if depth > 4:
+            within &= second >> np.uint64(16 * (LEVELS - depth)) == 0
         out.append(np.concatenate([[0], np.cumsum(~within)]))
     return out
 
 
-def region_pairs(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, rep: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices (i, j) of candidates among sorted rows, and whether each belongs to the first round."""
+def region_pairs(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, rep: np.ndarray, n: np.ndarray, label: np.ndarray, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of candidates among sorted rows; nearest: of the next row alone."""
     size = len(tree)
-    if size < 2:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, bool)
-    levels = _regions(tree, k1, k2)
-    counts = [np.bincount(r)[r] for r in levels]
-    region, count = levels[0].copy(), counts[0].copy()
-    for level, (r, c) in enumerate(zip(levels[1:], counts[1:], strict=True), 1):
-        deeper = count > REGION
-        region = np.where(deeper, r + size * level, region)
-        count = np.where(deeper, c, count)
-    whole, large = count <= REGION, counts[0] > REGION
-    firsts, seconds, firsthand = [], [], []
-    for step in range(1, min(REGION, size)):
+    levels = _regions(tree, k1, k2) if size > 1 else []
+    firsts, seconds = [np.empty(0, int)], [np.empty(0, int)]
+    if levels:
+        counts = [np.bincount(r)[r] for r in levels]
+        region, count = levels[0].copy(), counts[0].copy()
+        for level, (r, c) in enumerate(zip(levels[1:], counts[1:], strict=True), 1):
+            deeper = count > REGION
+            region = np.where(deeper, r + size * level, region)
+            count = np.where(deeper, c, count)
+        whole = count <= REGION
+    for step in range(1, min(2 if nearest else REGION, size)):
         a, b = slice(None, size - step), slice(step, None)
-        hit = (region[a] == region[b]) & whole[a] & whole[b]
-        if step <= NEIGHBOURS:
-            hit |= (levels[0][a] == levels[0][b]) & large[a]
-        i = np.flatnonzero(hit)
-        if not len(i):
-            continue
-        i = i[(rep[i] != rep[i + step]) & (DENOMINATOR * np.minimum(n[i], n[i + step]) >= NUMERATOR * np.maximum(n[i], n[i + step]))]
+        if nearest:
+            hit = levels[0][a] == levels[0][b]
+        else:
+            hit = region[a] == region[b]
+            if step > NEIGHBOURS:
+                hit &= whole[a]
+        i = np.flatnonzero(hit & (rep[a] != rep[b]) & (label[a] != label[b]))
+        i = i[DENOMINATOR * np.minimum(n[i], n[i + step]) >= NUMERATOR * np.maximum(n[i], n[i + step])]
         firsts.append(i)
         seconds.append(i + step)
-        firsthand.append((tree[i] < FIRST_TREES) & (step == 1))
-    if not firsts:
-        return np.empty(0, int), np.empty(0, int), np.empty(0, bool)
-    return np.concatenate(firsts), np.concatenate(seconds), np.concatenate(firsthand)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
+ROW = ("tree", "k1", "k2", "rep", "n", "label")
+PAIRS = "edge boolean, a long, b long, la long, lb long, border int, side int, tree int, k1 long, k2 long, n long"
+
+
+def _sorted(rows: pd.DataFrame, *more: str) -> list[np.ndarray]:
+    columns = {c: rows[c].to_numpy(np.int64) for c in (*ROW, *more)}
+    order = np.lexsort(tuple(columns[c] for c in ("rep", "k2", "k1", "tree")))
+    return [c[order] for c in columns.values()]
+
 
+def _pair_frame(rep: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    turned = rep[i] > rep[j]
+    i, j = np.where(turned, j, i), np.where(turned, i, j)
+    return pd.DataFrame({"edge": False, "a": rep[i], "b": rep[j], "la": label[i], "lb": label[j], "border": 0, "side": 0, "tree": 0, "k1": 0, "k2": 0, "n": 0})
 
-PAIRS = "edge boolean, a long, b long, first boolean, border int, side int, tree int, k1 long, k2 long, n long"
 
+def _scan(nearest: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One range of all tree orders: its pairs, and the rows at its two borders."""
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held)
+        here = int(rows["here"].iloc[0])
+        tree, k1, k2, rep, n, label = _sorted(rows)
+        i, j = region_pairs(tree, k1, k2, rep, n, label, nearest)
+        for at in range(0, len(i), 100_000):
+            yield _pair_frame(rep, label, i[at : at + 100_000], j[at : at + 100_000])
+        for side, border, at in ((0, here, slice(-REGION, None)), (1, here - 1, slice(None, REGION))):
+            yield pd.DataFrame({"edge": True, "a": rep[at], "b": 0, "la": label[at], "lb": 0, "border": border, "side": side, "tree": tree[at], "k1": k1[at], "k2": k2[at], "n": n[at]})
 
-def _pair_frame(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"edge": False, "a": np.minimum(a, b), "b": np.maximum(a, b), "first": first, "border": 0, "side": 0, "tree": 0, "k1": 0, "k2": 0, "n": 0})
+    return run
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One range of all tree orders: its pairs, and the rows at its two borders."""
-    rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({c: [] for c in ("tree", "k1", "k2", "rep", "n")}, dtype=np.int64)])
-    if not len(rows):
-        return
-    tree, k1, k2, rep, n = (rows[c].to_numpy(np.int64) for c in ("tree", "k1", "k2", "rep", "n"))
-    order = np.lexsort((rep, k2, k1, tree))
-    tree, k1, k2, rep, n = tree[order], k1[order], k2[order], rep[order], n[order]
-    i, j, first = region_pairs(tree, k1, k2, rep, n)
-    for at in range(0, len(i), 100_000):
-        part = slice(at, at + 100_000)
-        yield _pair_frame(rep[i[part]], rep[j[part]], first[part])
-    here = TaskContext.get().partitionId()
-    for side, border, rows_at in ((0, here, slice(-REGION, None)), (1, here - 1, slice(None, REGION))):
-        yield pd.DataFrame({"edge": True, "a": rep[rows_at], "b": 0, "first": False, "border": border, "side": side, "tree": tree[rows_at], "k1": k1[rows_at], "k2": k2[rows_at], "n": n[rows_at]})
+def _cross(nearest: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one border: one row from either side."""
+        tree, k1, k2, rep, n, label, side = _sorted(rows.assign(rep=rows["a"], label=rows["la"]), "side")
+        i, j = region_pairs(tree, k1, k2, rep, n, label, nearest)
+        across = side[i] != side[j]
+        return _pair_frame(rep, label, i[across], j[across])
 
+    return run
 
-def _cross(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one border: one row from either side."""
-    side, tree, k1, k2, rep, n = (rows[c].to_numpy(np.int64) for c in ("side", "tree", "k1", "k2", "a", "n"))
-    order = np.lexsort((rep, k2, k1, tree))
-    side, tree, k1, k2, rep, n = (x[order] for x in (side, tree, k1, k2, rep, n))
-    i, j, first = region_pairs(tree, k1, k2, rep, n)
-    across = side[i] != side[j]
-    return _pair_frame(rep[i[across]], rep[j[across]], first[across])
+
+LINK = ["a", "b", "la", "lb"]
+LINKS = "a long, b long, la long, lb long"
 
 
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if len(rows):
             a, b = (np.frombuffer(b"".join(rows[c]), np.uint16).reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
-            yield rows.loc[(a == b).mean(axis=1) >= LEAST_ESTIMATE, ["a", "b", "first"]]
+            yield rows.loc[(a == b).mean(axis=1) >= LEAST_ESTIMATE, LINK]
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,37 +256,70 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     held[key] = shingles(split_words(text))
                 sets.append(held[key])
             keep.append(linked(*sets))
-        yield rows.loc[np.array(keep, bool), ["a", "b"]]
+        yield rows.loc[np.array(keep, bool), LINK]
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """(rep, n_shingles, sig) -> distinct (a, b, first) with a < b."""
+def candidate_pairs(reps: DataFrame, nearest: bool) -> DataFrame:
+    """(rep, n_shingles, sig, label) -> distinct (a, b, la, lb) with a < b and different labels."""
     spark = reps.sparkSession
     ranges = max(1, min(reps.count() * TREES // ROWS_PER_RANGE, 100 * shuffle_partitions(spark)))
-    rows = reps.select("rep", "n_shingles", "sig").mapInPandas(_tree_rows, "tree int, k1 long, k2 long, rep long, n long")
-    forest = stage(rows.repartitionByRange(ranges, "tree", "k1", "k2", "rep").mapInPandas(_scan, PAIRS), "forest")
-    across = forest.where("edge").groupBy("border").applyInPandas(_cross, PAIRS)
-    pairs = forest.where("not edge").unionByName(across).groupBy("a", "b").agg(F.max("first").alias("first"))
+    rows = reps.select("rep", "n_shingles", "sig", "label").mapInPandas(_tree_rows, TREE_ROW)
+    # a range's number is a column, as a task may be given several ranges
+    dealt = rows.repartitionByRange(ranges, "tree", "k1", "k2", "rep").withColumn("here", F.spark_partition_id())
+    forest = stage(dealt.mapInPandas(_scan(nearest), PAIRS), "forest", narrow=True)
+    across = forest.where("edge").groupBy("border").applyInPandas(_cross(nearest), PAIRS)
+    pairs = forest.where("not edge").unionByName(across).select(*LINK).distinct()
+    if nearest:  # few and mostly linked: signatures would spare little
+        return stage(pairs, "pairs", narrow=True)
     sig = reps.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-    return both.mapInPandas(_agree, "a long, b long, first boolean")
+    return stage(both.mapInPandas(_agree, LINKS), "pairs", narrow=True)
+
+
+def _bit(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(64 * FILTER_WORDS))
+
+
+def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_hit``: true for every id in ``ids``, and for some others.
+
+    A bit filter of at most FILTER_WORDS words is broadcast, so that texts in
+    no pair are never shuffled; the joins that follow are exact.
+    """
+    words = ids.select(_bit("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    rows = docs.withColumn("_at", _bit("doc_id")).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
+    return rows.select(*docs.columns, F.expr("coalesce((shiftright(bits, cast(_at % 64 as int)) & 1L) = 1L, false)").alias("_hit"))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component alone; of rows that repeat it, one."""
+    found = stage(near_duplicates(docs), "classes", narrow=True)
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = flagged(docs, gone.unionByName(again))
+    # only what the filter hits has to be shuffled
+    touched = rows.where("_hit").select(*docs.columns).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rows.where("not _hit").select(*docs.columns).unionByName(touched.select(*docs.columns))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    both = pairs.select("a", "b").join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long")
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b) of linked labels: those of the pairs whose full sets are similar enough."""
+    met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    texts = stage(flagged(docs, met).where("_hit").select("doc_id", "text"), "texts")
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
+    links = both.select(*LINK, "text_a", "text_b").mapInPandas(_confirm, LINKS)
+    return links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the smallest node reachable. Labels spread along links, then along labels, until none changes."""
-    links = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-    labels = stage(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    links = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links", narrow=True)
+    labels = stage(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", narrow=True)
     while True:
         best = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("label").alias("best"))
-        spread = stage(labels.join(best, labels.node == best.u).select("node", F.col("label").alias("old"), F.least("label", "best").alias("label")), "labels")
+        spread = stage(labels.join(best, labels.node == best.u).select("node", F.col("label").alias("old"), F.least("label", "best").alias("label")), "labels", narrow=True)
         roots = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = stage(spread.join(roots, "label").select("node", "old", F.col("root").alias("label")), "labels")
+        jumped = stage(spread.join(roots, "label").select("node", "old", F.col("root").alias("label")), "labels", narrow=True)
         labels = jumped.select("node", "label")
         if jumped.where("old <> label").isEmpty():
             return labels
@@ -279,22 +331,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(docs.mapInPandas(_signed, "doc_id long, n_shingles long, key binary, sig binary"), "signed")
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = stage(reps, "reps")
-    pairs = stage(candidate_pairs(reps), "pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(docs.join(met, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    near = components(confirm(pairs.where("first"), texts))
-    a = near.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    b = near.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = pairs.where("not first").join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb")).where("la <> lb")
-    rest = stage(rest, "rest")
-    more = stage(confirm(rest, texts), "more")
-    joined = more.join(rest, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    far = components(joined)
-    far = far.select(F.col("node").alias("label"), F.col("label").alias("last"))
-    labels = stage(near.join(far, "label", "left").select("node", F.coalesce("last", "label").alias("label")), "labels")
-    alone = far.select(F.col("label").alias("node"), F.col("last").alias("label")).join(labels, "node", "left_anti")
-    labels = labels.unionByName(alone).select(F.col("node").alias("rep"), "label")
-    named = stage(reps.select("key", "rep").join(labels, "rep", "left").select("key", F.coalesce("label", "rep").alias("component_id")), "named")
+    first = reps.withColumn("label", F.col("rep"))
+    near = components(confirm(candidate_pairs(first, True), docs))
+    second = reps.join(near, reps.rep == near.node, "left").select("key", "rep", "n_shingles", "sig", F.coalesce("label", "rep").alias("label"))
+    second = stage(second, "reps")
+    far = components(confirm(candidate_pairs(second, False), docs)).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    named = stage(second.select("key", "label").join(far, "label", "left").select("key", F.coalesce("last", "label").alias("component_id")), "named", narrow=True)
     wordy = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
     wordless = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return wordy.unionByName(wordless).withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -75,7 +75,8 @@ def test_regions_split_and_keep_all_pairs():
     i, j = near_dedup.region_pairs(tree, k1, k2, rep, size, rep)
     got = {(a, b) for a, b in zip(i, j, strict=True)}
     assert all((20 * g + a, 20 * g + b) in got for g in range(10) for a in range(20) for b in range(a + 1, 20))
-    assert (19, 20) in got  # neighbours across regions of a large one
+    i, j = near_dedup.region_pairs(tree, k1, k2, rep, size, rep, nearest=True)
+    assert (i == np.arange(n - 1)).all() and (j == i + 1).all()  # nearest neighbours also across its regions
 
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
