@@ -30,9 +30,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others the words that are hit go."""
     benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontaminate.find_contamination(docs, benchmark, keep=COLUMNS).where(~decontaminate.contaminated())
-    text = decontaminate.cut(F.col("text"), F.col("spans"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans")).select(*COLUMNS[:4], _n_chars(F.size("spans") > 0))
+    found = decontaminate.find_contamination(docs, benchmark, keep=COLUMNS, cut=True).where(~decontaminate.contaminated())
+    return found.select(*COLUMNS[:4], _n_chars(F.size("spans") > 0))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ they are named in ``keep``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,12 +142,14 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         length *= 2
 
 
-def find_spans(texts: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[list[str]]]:
-    """Per document the merged word spans that are hit, and the items that occur."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[str]] = [set() for _ in texts]
-    if not phrases.least:
-        return spans, [[] for _ in texts]
+def find_spans(texts: Iterable[str | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Per document the number of words, the word spans that are hit, and the items that occur.
+
+    Of each text only the runs that may hold an occurrence are kept.
+    """
+    counts: list[int] = []
+    spans: list[list[tuple[int, int]]] = []
+    items: list[set[str]] = []
     get = phrases.vocabulary.get
     shard: list[tuple[int, int, np.ndarray]] = []
     held = 0
@@ -181,18 +183,24 @@ def find_spans(texts: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tu
                 items[doc].update(phrases.items[o] for o in phrases.owners[phrases.starts[pattern] : phrases.starts[pattern + 1]])
         shard, held = [], 0
 
-    for doc, words in enumerate(texts):
+    for doc, text in enumerate(texts):
+        words = split_words(text)
+        counts.append(len(words))
+        spans.append([])
+        items.append(set())
+        if not phrases.least:
+            continue
         ids = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
         inside = np.diff(np.concatenate([[0], ids > 0, [0]]).astype(np.int8))
         starts, ends = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
         for a, b in zip(starts, ends, strict=True):
             if b - a >= phrases.least:
-                shard.append((doc, int(a), ids[a:b]))
+                shard.append((doc, int(a), ids[a:b].copy()))
                 held += b - a
         if held >= SHARD_TOKENS:
             flush()
     flush()
-    return spans, [sorted(x) for x in items]
+    return counts, spans, [sorted(x) for x in items]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,8 +233,8 @@ def _paired(flat) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(flat[::2], flat[1::2], strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keep``, n_words, n_hit, ``spans`` to remove (word positions start, end, start, end ...) and ``items`` that occur, as sorted strings."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """``keep`` (cut: its text without the spans), n_words, n_hit, ``spans`` to remove (word positions start, end, start, end ...) and ``items`` that occur, as sorted strings."""
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # twice as many blocks as needed, as a hash doesn't deal evenly
@@ -238,14 +246,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r["item_id"], r["text"]) for r in part.collect()]
 
-        def search(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], items=items, last=block + 1 == blocks) -> Iterator[pd.DataFrame]:
             phrases = Phrases(items, window)
             for pdf in batches:
-                texts = [split_words(t) for t in pdf["text"]]
-                spans, names = find_spans(texts, phrases)
-                pdf["_n"] = [len(t) for t in texts]
+                pdf["_n"], spans, names = find_spans(pdf["text"], phrases)
                 pdf["_spans"] = [_flat(merge_spans([*new, *_paired(old)])) for new, old in zip(spans, pdf["_spans"], strict=True)]
                 pdf["_items"] = [sorted({*new, *old}) for new, old in zip(names, pdf["_items"], strict=True)]
+                if last and cut:
+                    pdf["text"] = [cut_words(t, _paired(x)) if len(x) else t for t, x in zip(pdf["text"], pdf["_spans"], strict=True)]
                 yield pdf
 
         rows = rows.mapInPandas(search, schema)
@@ -263,12 +271,3 @@ def digest(found: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return rows.withColumn("contaminated", contaminated())
 
-
-def cut(text: Column, spans: Column) -> Column:
-    """A text without its word spans."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, flats: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, _paired(x)) if t is not None and len(x) else t for t, x in zip(texts, flats, strict=True)], dtype=object)
-
-    return F.when(F.size(spans) > 0, run(text, spans)).otherwise(text)
