@@ -50,13 +50,13 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+            held = json.load(file)
+        self.path, self.slow = path, None
+        vocabulary = held["model"]["vocab"]
+        special = {t["content"] for t in held["added_tokens"]}
+        del held
         byte_of = _byte_alphabet()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         import public_tokenizers
@@ -67,9 +67,17 @@ class Encoder:
         if len(text) >= LONG_RUN:
             words = text.split()
             if max(map(len, words), default=0) >= LONG_RUN or len(text) - sum(map(len, words)) - len(words) >= LONG_RUN:
-                return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                return self._slowly(text)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
+    def _slowly(self, text: str) -> np.ndarray:
+        if self.slow is None:  # loaded where it is needed alone, for its memory
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
 
 def _byte_alphabet() -> dict[str, int]:
     """The characters by which byte-level BPE files write bytes: printable ones stand for themselves, the others follow from 256 on."""
