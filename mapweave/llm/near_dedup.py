@@ -15,10 +15,14 @@
    neighbours and contracts what they link; the second takes all pairs of
    regions that lie in different components, so a large group of copies never
    emits its pairs.
-4. Components by minimum labels with pointer jumping, all in shared storage.
+4. Rows of regions too large to give all pairs are joined exactly: similar
+   sets share one of the rarest quarter of their shingles, so all pairs of
+   different components that share one are compared on full sets, in blocks.
+5. Components by minimum labels with pointer jumping, all in shared storage.
 
 A pair of similarity s shares a region with probability
-1 - (1 - s**DEPTH)**TREES: at least 1 - 3e-8 at s = 0.75.
+1 - (1 - s**DEPTH)**TREES: at least 1 - 3e-8 at s = 0.75. Step 4 misses no
+pair of rows that are in large regions.
 
 Defined results: a text with fewer words than a shingle is one shingle; a
 null, empty or wordless text has none and is linked with nothing; rows that
@@ -50,6 +54,9 @@ ROWS_PER_RANGE = 20_000
 #: The filter of ids is this many 64-bit words at most: some 10 MB where it is broadcast.
 FILTER_WORDS = 1 << 18
 CACHED_WORDS = 100_000
+#: Shingles that are ordered by their counts, last in every prefix; the order is free, the join exact under any.
+RANKED = 1 << 17
+GROUP, ROWS_PER_BLOCK = 256, 2_000
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -187,6 +194,14 @@ def region_pairs(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, rep: np.ndarr
     return np.concatenate(firsts), np.concatenate(seconds)
 
 
+def crowded(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows are in regions too large to give all pairs."""
+    if len(tree) < 2:
+        return np.zeros(len(tree), bool)
+    region = _regions(tree, k1, k2)[0]
+    return np.bincount(region)[region] > REGION
+
+
 ROW = ("tree", "k1", "k2", "rep", "n", "label")
 PAIRS = "edge boolean, a long, b long, la long, lb long, border int, side int, tree int, k1 long, k2 long, n long"
 
@@ -203,6 +218,13 @@ def _pair_frame(rep: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray
     return pd.DataFrame({"edge": False, "a": rep[i], "b": rep[j], "la": label[i], "lb": label[j], "border": 0, "side": 0, "tree": 0, "k1": 0, "k2": 0, "n": 0})
 
 
+def _crowd_frame(rep: np.ndarray, label: np.ndarray, which: np.ndarray) -> pd.DataFrame:
+    """Rows of large regions, each as a pair with itself."""
+    at = np.flatnonzero(which)
+    at = at[np.unique(rep[at], return_index=True)[1]]
+    return _pair_frame(rep, label, at, at)
+
+
 def _scan(nearest: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One range of all tree orders: its pairs, and the rows at its two borders."""
@@ -215,6 +237,8 @@ def _scan(nearest: bool):
         i, j = region_pairs(tree, k1, k2, rep, n, label, nearest)
         for at in range(0, len(i), 100_000):
             yield _pair_frame(rep, label, i[at : at + 100_000], j[at : at + 100_000])
+        if not nearest:
+            yield _crowd_frame(rep, label, crowded(tree, k1, k2))
         for side, border, at in ((0, here, slice(-REGION, None)), (1, here - 1, slice(None, REGION))):
             yield pd.DataFrame({"edge": True, "a": rep[at], "b": 0, "la": label[at], "lb": 0, "border": border, "side": side, "tree": tree[at], "k1": k1[at], "k2": k2[at], "n": n[at]})
 
@@ -227,7 +251,8 @@ def _cross(nearest: bool):
         tree, k1, k2, rep, n, label, side = _sorted(rows.assign(rep=rows["a"], label=rows["la"]), "side")
         i, j = region_pairs(tree, k1, k2, rep, n, label, nearest)
         across = side[i] != side[j]
-        return _pair_frame(rep, label, i[across], j[across])
+        pairs = _pair_frame(rep, label, i[across], j[across])
+        return pairs if nearest else pd.concat([pairs, _crowd_frame(rep, label, crowded(tree, k1, k2))])
 
     return run
 
@@ -259,8 +284,8 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[np.array(keep, bool), LINK]
 
 
-def candidate_pairs(reps: DataFrame, nearest: bool) -> DataFrame:
-    """(rep, n_shingles, sig, label) -> distinct (a, b, la, lb) with a < b and different labels."""
+def candidate_pairs(reps: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """(rep, n_shingles, sig, label) -> distinct (a, b, la, lb) with a < b and different labels; and the reps of large regions, none for nearest."""
     spark = reps.sparkSession
     ranges = max(1, min(reps.count() * TREES // ROWS_PER_RANGE, 100 * shuffle_partitions(spark)))
     rows = reps.select("rep", "n_shingles", "sig", "label").mapInPandas(_tree_rows, TREE_ROW)
@@ -268,12 +293,13 @@ def candidate_pairs(reps: DataFrame, nearest: bool) -> DataFrame:
     dealt = rows.repartitionByRange(ranges, "tree", "k1", "k2", "rep").withColumn("here", F.spark_partition_id())
     forest = stage(dealt.mapInPandas(_scan(nearest), PAIRS), "forest", narrow=True)
     across = forest.where("edge").groupBy("border").applyInPandas(_cross(nearest), PAIRS)
-    pairs = forest.where("not edge").unionByName(across).select(*LINK).distinct()
+    found = stage(forest.where("not edge").unionByName(across).select(*LINK).distinct(), "pairs", narrow=True)
+    pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("rep"))
     if nearest:  # few and mostly linked: signatures would spare little
-        return stage(pairs, "pairs", narrow=True)
+        return pairs, crowd
     sig = reps.select("rep", "sig")
     both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-    return stage(both.mapInPandas(_agree, LINKS), "pairs", narrow=True)
+    return stage(both.mapInPandas(_agree, LINKS), "pairs", narrow=True), crowd
 
 
 def _bit(c: str) -> Column:
@@ -311,6 +337,108 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        words = [split_words(t) for t in rows["text"]]
+        own = [hashlib.md5(b" ".join(w)).digest() == bytes(k) for w, k in zip(words, rows["key"], strict=True)]
+        held = [shingles(w) if o else None for w, o in zip(words, own, strict=True)]
+        out = pd.DataFrame({"rep": rows["rep"], "label": rows["label"], "shingles": [None if h is None else h.tobytes() for h in held]})
+        yield out[own]
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        values, n = np.unique(np.frombuffer(b"".join(rows["shingles"]), np.int64), return_counts=True)
+        yield pd.DataFrame({"h": values, "n": n})
+
+
+def prefix(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a set's shingles, so many that two linked sets share one. ranked: sorted frequent shingles."""
+    size = len(hashes) - -(-NUMERATOR * len(hashes) // DENOMINATOR) + 1
+    if not len(ranked):
+        return np.sort(hashes)[:size]
+    at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
+    rank = np.where(ranked[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:size]]
+
+
+def _prefixes(ranked: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), 500):
+                some = rows.iloc[at : at + 500]
+                sets = [np.frombuffer(x, np.int64) for x in some["shingles"]]
+                firsts = [prefix(x, ranked, counts) for x in sets]
+                each = [len(x) for x in firsts]
+                if each:
+                    yield pd.DataFrame({"h": np.concatenate(firsts), "rep": np.repeat(some["rep"].to_numpy(), each), "label": np.repeat(some["label"].to_numpy(), each), "n": np.repeat([len(x) for x in sets], each)})
+
+    return run
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of sorted rows of one group; of two blocks, one row from either."""
+    names = ["h", "low", "high", "block", "rep", "label", "n"]
+    left = pd.DataFrame({c: np.empty(0, np.int64) for c in names})
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        h, low, high, block, rep, label, n = (rows[c].to_numpy(np.int64) for c in names)
+        for step in range(1, len(h)):
+            a, b = slice(None, -step), slice(step, None)
+            same = (h[a] == h[b]) & (low[a] == low[b]) & (high[a] == high[b])
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])))
+            i = i[DENOMINATOR * np.minimum(n[i], n[i + step]) >= NUMERATOR * np.maximum(n[i], n[i + step])]
+            if len(i):
+                yield _pair_frame(rep, label, i, i + step)[LINK].drop_duplicates()
+
+    for rows in batches:
+        rows = pd.concat([left, rows[names]])
+        if not len(rows):
+            continue
+        last = rows.iloc[-1]
+        # the last group may go on in the next batch
+        open_ = ((rows["h"] == last["h"]) & (rows["low"] == last["low"]) & (rows["high"] == last["high"])).to_numpy()
+        yield from pairs(rows[~open_])
+        left = rows[open_]
+    yield from pairs(left)
+
+
+def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    held = {r: np.frombuffer(x, np.uint64) for r, x in zip(sets["rep"], sets["shingles"], strict=True)}
+    keep = [linked(held[a], held[b]) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+    return pairs.loc[np.array(keep, bool), LINK]
+
+
+def crowd_links(sets: DataFrame) -> DataFrame:
+    """(rep, label, shingles) -> (a, b) of all labels with linked sets; no pair is left to chance."""
+    counts = sets.mapInPandas(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") > GROUP).orderBy(F.desc("n"), "h").limit(RANKED).orderBy("h").toPandas()
+    ranked, often = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    rows = stage(sets.mapInPandas(_prefixes(ranked, often), "h long, rep long, label long, n long"), "prefixes")
+    groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    rows = rows.join(groups.select("h", F.ceil(F.col("size") / GROUP).alias("blocks")), "h")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label", "n")
+    rows = rows.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    pairs = stage(rows.mapInPandas(_met, LINKS).distinct(), "pairs", narrow=True)
+    blocks = F.lit(max(1, sets.count() // ROWS_PER_BLOCK))
+    pairs = pairs.select(*LINK, *(F.pmod(F.xxhash64(c), blocks).alias(to) for c, to in (("a", "x"), ("b", "y"))))
+    need = pairs.select("x", "y", F.col("a").alias("rep")).unionByName(pairs.select("x", "y", F.col("b").alias("rep"))).distinct()
+    need = stage(need, "needed", narrow=True)
+    both = pairs.groupBy("x", "y").cogroup(need.join(sets.select("rep", "shingles"), "rep").groupBy("x", "y"))
+    links = both.applyInPandas(_compare, LINKS)
+    return links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+
+
+def crowd_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, rep, label) -> rep, label and full shingle set."""
+    texts = flagged(docs, reps.select(F.col("rep").alias("doc_id"))).where("_hit").select(F.col("doc_id").alias("rep"), "text")
+    sets = texts.join(reps.select("key", "rep", "label"), "rep").mapInPandas(_sets, "rep long, label long, shingles binary")
+    return stage(sets.dropDuplicates(["rep"]), "sets")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the smallest node reachable. Labels spread along links, then along labels, until none changes."""
     links = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links", narrow=True)
@@ -332,11 +460,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     reps = stage(reps, "reps")
     first = reps.withColumn("label", F.col("rep"))
-    near = components(confirm(candidate_pairs(first, True), docs))
+    near = components(confirm(candidate_pairs(first, True)[0], docs))
     second = reps.join(near, reps.rep == near.node, "left").select("key", "rep", "n_shingles", "sig", F.coalesce("label", "rep").alias("label"))
     second = stage(second, "reps")
-    far = components(confirm(candidate_pairs(second, False), docs)).select(F.col("node").alias("label"), F.col("label").alias("last"))
-    named = stage(second.select("key", "label").join(far, "label", "left").select("key", F.coalesce("last", "label").alias("component_id")), "named", narrow=True)
+    pairs, crowd = candidate_pairs(second, False)
+    far = components(confirm(pairs, docs)).select(F.col("node").alias("label"), F.col("label").alias("last"))
+    named = stage(second.select("key", "rep", "label").join(far, "label", "left").select("key", "rep", F.coalesce("last", "label").alias("label")), "named", narrow=True)
+    if not crowd.isEmpty():
+        rest = components(crowd_links(crowd_sets(named.join(crowd, "rep", "left_semi"), docs))).select(F.col("node").alias("label"), F.col("label").alias("last"))
+        named = stage(named.join(rest, "label", "left").select("key", F.coalesce("last", "label").alias("label")), "named", narrow=True)
+    named = named.select("key", F.col("label").alias("component_id"))
     wordy = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
     wordless = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return wordy.unionByName(wordless).withColumn("kept", F.col("doc_id") == F.col("component_id"))

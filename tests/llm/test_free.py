@@ -79,6 +79,15 @@ def test_regions_split_and_keep_all_pairs():
     assert (i == np.arange(n - 1)).all() and (j == i + 1).all()  # nearest neighbours also across its regions
 
 
+def test_near_duplicates_in_a_large_region(docs_of):
+    base = [f"b{k}" for k in range(204)]
+    family = [base + [f"t{i}x{k}" for k in range(4)] for i in range(300)]
+    # each linked with one member of the family alone
+    lone = [[f"s{i}x{k}" for k in range(29)] + family[i][29:] for i in range(20)]
+    rows = near_dedup.near_duplicates(docs_of(*map(" ".join, family + lone))).collect()
+    assert {r["component_id"] for r in rows} == {0} and len(rows) == 320
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
