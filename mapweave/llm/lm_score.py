@@ -3,7 +3,11 @@
 The network predicts every token from the ``SPAN`` tokens on either side of
 it, never from the token itself; a document's score is the sum of the
 log-probabilities. Its classes are the most frequent words of the corpus and
-hash buckets for all others.
+hash buckets for all others. A word of a bucket is predicted in two factors:
+its bucket by the network, and itself within the bucket. Words that occur
+``LISTED`` times or more have their share of the bucket's counts; the rarer
+ones share what is left of it by their spelling, a chain over bytes counted
+on the rare words of the whole corpus. As context, words of a bucket are alike.
 
 Training passes over all documents: each task takes gradient steps, in numpy,
 at every ``STRIDE``-th position from the common weights on, and the tasks'
@@ -29,12 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, BUCKETS = 143, 48
+from mapweave.llm.common import stage
+
+WORDS, BUCKETS, LISTED = 143, 48, 8
 CLASSES = 1 + WORDS + BUCKETS
 SPAN, WIDTH = 2, 32
 OFFSETS = tuple(o for o in range(-SPAN, SPAN + 1) if o)
 STRIDE, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.05
 BLOCK = 8192
+#: The sign before and after a word's bytes.
+EDGE = 256
 CHUNKS = 32
 COUNTED_AT_ONCE = 200_000
 
@@ -97,9 +105,76 @@ class Network:
             np.add.at(embed[k], context[:, k], -scale * back)
 
 
+@dataclass
+class Inside:
+    """Log-probabilities of words within their buckets."""
+
+    share: dict[bytes, float]
+    rare: np.ndarray
+    spelling: np.ndarray
+
+    def total(self, words: list[bytes], ids: np.ndarray) -> float:
+        out, rare = 0.0, []
+        for k in np.flatnonzero(ids > WORDS):
+            log = self.share.get(words[k])
+            if log is None:
+                rare.append(words[k])
+                log = self.rare[ids[k] - 1 - WORDS]
+            out += float(log)
+        if rare:
+            x = _letters(rare)
+            for at in range(0, len(x) - 1, BLOCK):
+                out += float(self.spelling[x[at : at + BLOCK][: len(x) - 1 - at], x[at + 1 : at + 1 + BLOCK]].sum())
+        return out
+
+
+def _letters(words: list[bytes]) -> np.ndarray:
+    """The bytes of words, EDGE around each; no word holds a blank."""
+    x = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
+    x[x == 32] = EDGE
+    return x
+
+
+def within(counts: DataFrame, top: dict[bytes, int]) -> tuple[Inside, np.ndarray]:
+    """(word, n) of the corpus, and the counts of the words with classes of their own -> the other words within buckets, the buckets' counts."""
+    listed = counts.where(F.col("n") >= LISTED).collect()
+    bucket = F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("bucket")
+    whole, rare = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in counts.groupBy(bucket).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") < LISTED, F.col("n")).otherwise(0)).alias("rare")).collect():
+        whole[r["bucket"]], rare[r["bucket"]] = r["n"], r["rare"]
+    for word, n in top.items():
+        whole[zlib.crc32(word) % BUCKETS] -= n
+        rare[zlib.crc32(word) % BUCKETS] -= n if n < LISTED else 0
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((EDGE + 1) ** 2)
+        for rows in batches:
+            if len(rows):
+                words = [bytes(w) for w in rows["word"]]
+                x = _letters(words)
+                held += np.bincount(x[:-1] * (EDGE + 1) + x[1:], np.repeat(rows["n"].to_numpy(float), [len(w) + 1 for w in words]), len(held))
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"step": at, "n": held[at].astype(np.int64)})
+
+    chain = np.ones((EDGE + 1) ** 2)
+    for r in counts.where(F.col("n") < LISTED).mapInPandas(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+        chain[r["step"]] += r["n"]
+    chain = chain.reshape(EDGE + 1, EDGE + 1)
+    # the one added is for words the corpus lacks
+    share = {w: float(np.log(r["n"] / (whole[zlib.crc32(w) % BUCKETS] + 1))) for r in listed if (w := bytes(r["word"])) not in top}
+    return Inside(share, np.log((rare + 1) / (whole + 1)), np.log(chain / chain.sum(axis=1, keepdims=True))), whole
+
+
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def tokens(text: str | None, number: dict[bytes, int]) -> np.ndarray:
     """The classes of a text's words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return classes(split_words(text), number)
+
+
+def classes(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
     get = number.get
     return np.fromiter([get(w) or 1 + WORDS + zlib.crc32(w) % BUCKETS for w in words], np.int64, len(words))
 
@@ -182,30 +257,39 @@ def _changes(docs: DataFrame, number: dict[bytes, int], flat: np.ndarray, turn:
     return np.concatenate([by[k] for k in range(CHUNKS)])
 
 
-def fit(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """The word classes and the trained weights."""
-    counts = count_words(docs)
+Model = tuple[dict[bytes, int], np.ndarray, Inside]
+
+
+def fit(docs: DataFrame) -> Model:
+    """The word classes, the trained weights and the words within buckets."""
+    counts = stage(count_words(docs), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     number = {bytes(r["word"]): k for k, r in enumerate(top, 1)}
     frequencies = np.full(CLASSES, 1.0)
     for r in top:
         frequencies[number[bytes(r["word"])]] = r["n"]
-    frequencies[1 + WORDS :] = max(1.0, sum(r["n"] for r in top) / BUCKETS)
+    inside, whole = within(counts, {bytes(r["word"]): r["n"] for r in top})
+    frequencies[1 + WORDS :] = np.maximum(1.0, whole)
     flat = Network.fresh(frequencies / frequencies.sum()).flat
     for turn in range(ROUNDS):
         flat = flat + _changes(docs, number, flat, turn)
-    return number, flat
+    return number, flat, inside
 
 
-def score(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, pseudo_log_likelihood, mean_log_likelihood."""
-    number, flat = model or fit(docs)
+    number, flat, inside = model or fit(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network(flat)
         for rows in batches:
-            ids = [tokens(t, number) for t in rows["text"]]
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": [len(x) for x in ids], "total": [pseudo_likelihood(x, net) for x in ids]})
+            n, totals = [], []
+            for text in rows["text"]:
+                words = split_words(text)
+                ids = classes(words, number)
+                n.append(len(ids))
+                totals.append(pseudo_likelihood(ids, net) + inside.total(words, ids))
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": n, "total": totals})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, total double")

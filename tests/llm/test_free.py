@@ -196,6 +196,17 @@ def test_lm_score(spark, docs_of):
     assert lm_score.score(docs.limit(0)).count() == 0
 
 
+def test_lm_score_tells_words_of_a_bucket_apart(docs_of):
+    known = [f"w{k}" for k in range(200)]
+    docs = docs_of(*[" ".join(known)] * 20)
+    model = lm_score.fit(docs)
+    listed = next(w for w in known if w.encode() not in model[0])
+    bucket = zlib.crc32(listed.encode()) % lm_score.BUCKETS
+    garbage = next(f"{k}qzj" for k in range(10_000) if zlib.crc32(f"{k}qzj".encode()) % lm_score.BUCKETS == bucket)
+    a, b = (r["pseudo_log_likelihood"] for r in lm_score.score(docs_of(f"w0 {listed} w1", f"w0 {garbage} w1"), model).orderBy("doc_id").collect())
+    assert a > b + 1
+
+
 def test_url_filter(spark):
     urls = {
         "https://a.NET/x": ("a.net", "/x", "net/", "block"), "http://www.example.net/en/1?q": ("www.example.net", "/en/1", "example.net/en/", "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
