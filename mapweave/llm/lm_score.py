@@ -9,8 +9,9 @@ its bucket by the network, and itself within the bucket. Words that occur
 ones share what is left of it by their spelling, a chain over bytes counted
 on the rare words of the whole corpus. As context, words of a bucket are alike.
 
-Training passes over all documents: each task takes gradient steps, in numpy,
-at every ``STRIDE``-th position from the common weights on, and the tasks'
+Training passes over all documents ``ROUNDS`` times, each time over another of
+every ``ROUNDS`` positions, so that every token is trained on once: each task
+takes gradient steps, in numpy, from the common weights on, and the tasks'
 changes are averaged in two levels by weight chunk, so what is gathered grows
 with the number of tasks and no task or driver holds more than its share.
 
@@ -39,7 +40,7 @@ WORDS, BUCKETS, LISTED = 143, 48, 8
 CLASSES = 1 + WORDS + BUCKETS
 SPAN, WIDTH = 2, 32
 OFFSETS = tuple(o for o in range(-SPAN, SPAN + 1) if o)
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 1024, 0.05
+ROUNDS, BATCH, RATE = 2, 1024, 0.05
 BLOCK = 8192
 #: The sign before and after a word's bytes.
 EDGE = 256
@@ -216,7 +217,6 @@ def _changes(docs: DataFrame, number: dict[bytes, int], flat: np.ndarray, turn:
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network(flat.copy())
         part = TaskContext.get().partitionId()
-        first = (part + turn * 7) % STRIDE
         held, seen, steps = [], 0, 0
 
         def take(rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -233,7 +233,7 @@ def _changes(docs: DataFrame, number: dict[bytes, int], flat: np.ndarray, turn:
             for text in rows["text"]:
                 ids = tokens(text, number)
                 if len(ids):
-                    held.append((contexts(ids)[first::STRIDE], ids[first::STRIDE]))
+                    held.append((contexts(ids)[turn::ROUNDS], ids[turn::ROUNDS]))
                     waiting += len(held[-1][1])
                 if waiting >= 16 * BATCH:
                     take(held)

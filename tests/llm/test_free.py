@@ -207,6 +207,14 @@ def test_lm_score_tells_words_of_a_bucket_apart(docs_of):
     assert a > b + 1
 
 
+def test_lm_training_takes_every_position(docs_of):
+    number = {b"a": 1, b"b": 2}
+    flat = lm_score.Network.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)).flat
+    # short texts count in every round, whatever their partition
+    docs = docs_of(*["a b"] * 40).repartition(2)
+    assert all(lm_score._changes(docs, number, flat, turn).any() for turn in range(lm_score.ROUNDS))
+
+
 def test_url_filter(spark):
     urls = {
         "https://a.NET/x": ("a.net", "/x", "net/", "block"), "http://www.example.net/en/1?q": ("www.example.net", "/en/1", "example.net/en/", "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
