@@ -2,8 +2,9 @@
 
 Each task tokenizes its documents and packs them as they come. A document is
 ids plus one end id, of which those from ``loss_from`` on bear loss. Whole
-sequences' worth is cut off long documents; what is left waits in a pool of at
-most ``POOL`` pieces. A bin is filled with the piece that fits and whose
+sequences' worth is cut off long documents; what is left waits in a pool until
+it holds ``POOL`` pieces and a bin's worth of tokens, or a bin's worth of
+segments. A bin is filled with the piece that fits and whose
 demand (tokens, one segment, loss-bearing tokens) has the largest dot product
 with what the bin has left; where none fits, the best is cut to fill the gap.
 The task's last, unfilled bin is dealt into sequences of powers of two.
@@ -115,6 +116,7 @@ class Packer:
     def __init__(self, limits: Limits, first_id: int) -> None:
         self.limits, self.next_id = limits, first_id
         self.pool: list[Piece] = []
+        self.waiting = 0
         self.rows: list[tuple] = []
 
     def add(self, piece: Piece) -> None:
@@ -124,7 +126,8 @@ class Packer:
             self._emit([whole])
         if len(piece.ids):
             self.pool.append(piece)
-        while len(self.pool) >= POOL:
+            self.waiting += len(piece.ids)
+        while len(self.pool) >= max(POOL, cap.segments) or (len(self.pool) >= POOL and self.waiting >= cap.tokens):
             self._emit(self._fill(cap.tokens))
 
     def finish(self) -> None:
@@ -165,6 +168,7 @@ class Packer:
                 if len(rest.ids):
                     cut.append(rest)
             out.append(piece)
+            self.waiting -= len(piece.ids)
             room -= (len(piece.ids), 1, piece.loss)
         self.pool = [p for p, f in zip(self.pool, free, strict=True) if f] + cut
         return out

@@ -176,6 +176,19 @@ def test_packing_limits():
     assert sum(by.values()) == sum({d: n for d, _, _, _, n, _, _ in rows}.values())
 
 
+def test_packing_of_short_texts_waits_for_a_limit():
+    packer = packing.Packer(packing.Limits(), 0)
+    for d in range(1024):
+        packer.add(packing.Piece(d, 0, np.arange(3, dtype=np.uint32), 3, 0))
+    assert set(Counter(r[5] for r in packer.take()).values()) == {256}  # the segment limit
+    for d in range(1024):
+        packer.add(packing.Piece(d, 0, np.arange(12, dtype=np.uint32), 12, 0))
+    by = Counter()
+    for r in packer.take():
+        by[r[5]] += r[2]
+    assert set(by.values()) == {2048}
+
+
 def test_lm_score(spark, docs_of):
     r = random.Random(4)
     texts = [*EDGES, *(" ".join(f"{a} {a}x" for a in r.choices("abcdefgh", k=40)) for _ in range(200)), " ".join(r.choices("abcdefgh", k=400)), "a ax " * 10_000]
