@@ -6,11 +6,12 @@ fits, the vocabulary decides: one strict term, or ``soft_limit`` distinct soft
 terms, reject a url. A term counts only between boundaries, that is next to
 anything but a letter or digit.
 
-The automaton scans batches of distinct (host, path) texts in Python; the
+The automaton scans whole urls, with query and fragment, in Python; the
 parsing and the rules are Spark expressions. Nothing is shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and
-path, no rule and the verdict allow; repeated rows stay; an empty table gives
+path and no rule; a null url has the verdict allow, one without ``://`` is
+scanned whole like any other; repeated rows stay; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -84,8 +85,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
             yield pd.DataFrame({"strict": a, "soft": b})
 
     host, path = parse_url(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), terms(F.concat("host", "path")).alias("n"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), terms(F.col("url")).alias("n"))
     by_terms = F.when((F.col("n.strict") >= 1) | (F.col("n.soft") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_terms).alias("verdict"), F.col("n.strict").alias("n_strict"), F.col("n.soft").alias("n_soft"))

@@ -240,6 +240,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
 
 
+def test_url_filter_scans_whole_urls(spark):
+    urls = ["https://a.com/go?q=xxx+casino", "https://a.com/#porn", "casino.example/porn", "https://a.com/?free&win", "https://a.com/free?q=freedom"]
+    got = url_filter.filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "block", "block", "block", "allow"]
+    assert (got[0]["host"], got[0]["path"], got[2]["host"], got[2]["path"]) == ("a.com", "/go", "", "")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
