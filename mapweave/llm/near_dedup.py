@@ -1,23 +1,24 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. One pass takes each text's distinct five-word shingles (64-bit hashes), a
-   digest of its word sequence and a signature. Equal sequences collapse to
-   their smallest doc_id by a map-side combined minimum.
-2. Every tree orders all representatives by its own sequence of signature
-   values. The rows of all trees are dealt out by range, so an order never
-   sits in one task; each task sorts its range and splits it into regions of
-   equal prefix. A region of at most ``REGION`` rows gives all its pairs; a
-   larger one goes a value deeper, and at full depth each row meets its
-   nearest neighbours. Neighbours across two ranges meet in a small extra
-   group per border.
-3. Candidates that sizes or signatures rule out fall away; the others are
-   confirmed on full shingle sets. A first round takes each row's nearest
-   neighbours and contracts what they link; the second takes all pairs of
-   regions that lie in different components, so a large group of copies never
-   emits its pairs.
+   digest of its word sequence, a signature and a parity bitmap. Equal
+   sequences collapse to one node by a map-side combined aggregate.
+2. Every tree orders all nodes by its own sequence of signature values. The
+   rows of the trees are dealt out by range, so an order never sits in one
+   task; each task sorts its range and splits it into regions of equal prefix.
+   A region of at most ``REGION`` rows gives all its pairs; a larger one goes
+   a value deeper, and at full depth each row meets its nearest neighbours.
+   Neighbours across two ranges meet in a small extra group per border.
+3. Candidates that sizes or bitmaps rule out fall away: each shingle flips one
+   bit, so two sets differ in at least as many shingles as their bitmaps
+   differ in bits. That bound is exact. The others are confirmed on full sets.
+   A first round takes each row's nearest neighbours and contracts what they
+   link; the second takes all pairs of regions that lie in different
+   components, so a large group of copies never emits its pairs.
 4. Rows of regions too large to give all pairs are joined exactly: similar
    sets share one of the rarest quarter of their shingles, so all pairs of
-   different components that share one are compared on full sets, in blocks.
+   different components that share one meet, in blocks. Sizes and bitmaps
+   decide inside the task; what they can't rule out is compared on full sets.
 5. Components by minimum labels with pointer jumping, all in shared storage.
 
 A pair of similarity s shares a region with probability
@@ -25,10 +26,13 @@ A pair of similarity s shares a region with probability
 pair of rows that are in large regions.
 
 Defined results: a text with fewer words than a shingle is one shingle; a
-null, empty or wordless text has none and is linked with nothing; rows that
-repeat a doc_id are one node and all get its component; ties do not arise, as
-the smallest doc_id names a component; an empty table gives an empty result;
-other columns are ignored.
+null, empty or wordless text has none and is linked with nothing; texts of any
+length are read whole; repeated rows share a node; texts that share a doc_id
+are linked, so an id has one component. doc_id may have any type that orders;
+a null one is less than none: it names a component only where no row of it
+has an id, and is kept there alone. Ties do not arise, as the smallest doc_id
+names a component. An empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,25 +42,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mapweave.llm.common import shuffle_partitions, stage
+from mapweave.llm.common import by_hot_key, discard, stage
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 TREES, DEPTH, LEVELS = 32, 3, 8
 SIZE = TREES * DEPTH
 REGION, NEIGHBOURS = 40, 4
-#: The least estimate of a candidate: 0.75 stands 5.7 standard deviations above it.
-LEAST_ESTIMATE = 0.5
-ROWS_PER_RANGE = 20_000
-#: The filter of ids is this many 64-bit words at most: some 10 MB where it is broadcast.
-FILTER_WORDS = 1 << 18
+ROWS_PER_RANGE = 100_000
+#: More ranges than this in one job are dealt tree by tree.
+MOST_RANGES = 100_000
+#: Bits of a bitmap: few for sets of at most NARROW_SET shingles.
+NARROW_SET, NARROW_BITS, WIDE_BITS = 256, 1024, 4096
+#: The filter of ids has 16 bits an id and at most this many 64-bit words (16 MB), beyond which it passes ever more rows to the exact join that follows.
+FILTER_WORDS = 1 << 21
 CACHED_WORDS = 100_000
 #: Shingles that are ordered by their counts, last in every prefix; the order is free, the join exact under any.
 RANKED = 1 << 17
 GROUP, ROWS_PER_BLOCK = 256, 2_000
+TEXTS_AT_ONCE = 64
 
 _random = np.random.default_rng(20240229)
 _MULTIPLY = _random.integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -126,30 +135,74 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        counts, keys, signatures = [], [], []
-        for text in rows["text"]:
-            words = split_words(text)
-            hashes = shingles(words)
-            counts.append(len(hashes))
-            keys.append(hashlib.md5(b" ".join(words)).digest() if words else None)
-            signatures.append(signature(hashes).tobytes() if words else None)
-        yield pd.DataFrame({"doc_id": rows["doc_id"], "n_shingles": counts, "key": keys, "sig": signatures})
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The parity of the shingles that fall on each bit."""
+    size = NARROW_BITS if len(hashes) <= NARROW_SET else WIDE_BITS
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Wide bitmaps as narrow ones: parities add up."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, WIDE_BITS // NARROW_BITS, NARROW_BITS // 64), axis=1)
+
+
+def unpacked(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Narrow bitmaps of all rows, wide ones of the rows that have them, and their place there (or -1)."""
+    wide = np.array([len(b) > NARROW_BITS // 8 for b in bits], bool)
+    whole = np.frombuffer(b"".join(b for b, w in zip(bits, wide, strict=True) if w), np.uint64).reshape(-1, WIDE_BITS // 64)
+    narrow = np.empty((len(bits), NARROW_BITS // 64), np.uint64)
+    narrow[wide] = _folded(whole)
+    narrow[~wide] = np.frombuffer(b"".join(b for b, w in zip(bits, wide, strict=True) if not w), np.uint64).reshape(-1, NARROW_BITS // 64)
+    return narrow, whole, np.where(wide, np.cumsum(wide) - 1, -1)
+
+
+def may_link(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs (i of x, j of y) their bitmaps leave possible; ``sizes``: of both sets together. Never false for a linked pair."""
+    differ = np.bitwise_count(x[0][i] ^ y[0][j]).sum(axis=1, dtype=np.int64)
+    a, b = x[2][i], y[2][j]
+    both = np.flatnonzero((a >= 0) & (b >= 0))
+    differ[both] = np.bitwise_count(x[1][a[both]] ^ y[1][b[both]]).sum(axis=1, dtype=np.int64)
+    return (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * sizes
+
+
+def key_of(words: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(words)).digest()
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # ids pass through untouched
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            rows = batch.slice(at, TEXTS_AT_ONCE)
+            counts, keys, signatures, bits = [], [], [], []
+            for text in rows.column("text"):
+                words = split_words(text.as_py())
+                hashes = shingles(words)
+                counts.append(len(hashes))
+                keys.append(key_of(words) if words else None)
+                signatures.append(signature(hashes).tobytes() if words else None)
+                bits.append(bitmap(hashes) if words else None)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "key", "sig", "bits"]
+            )
 
 
 TREE_ROW = "tree int, k1 long, k2 long, rep long, n long, label long"
 
 
-def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        if not len(rows):
-            continue
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, SIZE)
-        for tree in range(TREES):
-            values = sig[:, _COLUMNS[tree]].astype(">u2")
-            packed = np.ascontiguousarray(values).view(">i8").astype(np.int64)
-            yield pd.DataFrame({"tree": np.int32(tree), "k1": packed[:, 0], "k2": packed[:, 1], "rep": rows["rep"], "n": rows["n_shingles"], "label": rows["label"]})
+def _tree_rows(first: int, stop: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, SIZE)
+            for tree in range(first, stop):
+                values = sig[:, _COLUMNS[tree]].astype(">u2")
+                packed = np.ascontiguousarray(values).view(">i8").astype(np.int64)
+                yield pd.DataFrame({"tree": np.int32(tree), "k1": packed[:, 0], "k2": packed[:, 1], "rep": rows["rep"], "n": rows["n_shingles"], "label": rows["label"]})
+
+    return run
 
 
 def _regions(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> list[np.ndarray]:
@@ -261,89 +314,100 @@ LINK = ["a", "b", "la", "lb"]
 LINKS = "a long, b long, la long, lb long"
 
 
-def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         if len(rows):
-            a, b = (np.frombuffer(b"".join(rows[c]), np.uint16).reshape(-1, SIZE) for c in ("sig_a", "sig_b"))
-            yield rows.loc[(a == b).mean(axis=1) >= LEAST_ESTIMATE, LINK]
+            x, y, every = unpacked(list(rows["bits_a"])), unpacked(list(rows["bits_b"])), np.arange(len(rows))
+            yield rows.loc[may_link(x, every, y, every, (rows["n_a"] + rows["n_b"]).to_numpy()), LINK]
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
     for rows in batches:
-        held: dict[int, np.ndarray] = {}
         keep = []
-        for a, b, x, y in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
+        for a, b, x, y in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), rows.column("text_a"), rows.column("text_b"), strict=True):
             if len(held) > 500:
                 held.clear()
             sets = []
             for key, text in ((a, x), (b, y)):
                 if key not in held:
-                    held[key] = shingles(split_words(text))
+                    held[key] = shingles(split_words(text.as_py()))
                 sets.append(held[key])
             keep.append(linked(*sets))
-        yield rows.loc[np.array(keep, bool), LINK]
+        yield rows.select(LINK).filter(pa.array(keep, pa.bool_()))
 
 
 def candidate_pairs(reps: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
-    """(rep, n_shingles, sig, label) -> distinct (a, b, la, lb) with a < b and different labels; and the reps of large regions, none for nearest."""
-    spark = reps.sparkSession
-    ranges = max(1, min(reps.count() * TREES // ROWS_PER_RANGE, 100 * shuffle_partitions(spark)))
-    rows = reps.select("rep", "n_shingles", "sig", "label").mapInPandas(_tree_rows, TREE_ROW)
-    # a range's number is a column, as a task may be given several ranges
-    dealt = rows.repartitionByRange(ranges, "tree", "k1", "k2", "rep").withColumn("here", F.spark_partition_id())
-    forest = stage(dealt.mapInPandas(_scan(nearest), PAIRS), "forest", narrow=True)
-    across = forest.where("edge").groupBy("border").applyInPandas(_cross(nearest), PAIRS)
-    found = stage(forest.where("not edge").unionByName(across).select(*LINK).distinct(), "pairs", narrow=True)
+    """(rep, n_shingles, sig, bits, label) -> distinct (a, b, la, lb) with a < b and different labels; and the reps of large regions, none for nearest."""
+    n = reps.count()
+    trees = max(1, min(TREES, MOST_RANGES * ROWS_PER_RANGE // max(1, n)))
+    ranges = max(1, n * trees // ROWS_PER_RANGE)
+    parts = []
+    for first in range(0, TREES, trees):
+        rows = reps.select("rep", "n_shingles", "sig", "label").mapInPandas(_tree_rows(first, min(TREES, first + trees)), TREE_ROW)
+        # a range's number is a column, as a task may be given several ranges
+        dealt = rows.repartitionByRange(ranges, "tree", "k1", "k2", "rep").withColumn("here", F.spark_partition_id())
+        forest = stage(dealt.mapInPandas(_scan(nearest), PAIRS), "forest")
+        across = forest.where("edge").groupBy("border").applyInPandas(_cross(nearest), PAIRS)
+        parts.append(stage(forest.where("not edge").unionByName(across).select(*LINK).distinct(), "pairs", narrow=True))
+        discard(forest)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
     pairs, crowd = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("rep"))
-    if nearest:  # few and mostly linked: signatures would spare little
+    if nearest:  # few and mostly linked: bitmaps would spare little
         return pairs, crowd
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b")
-    return stage(both.mapInPandas(_agree, LINKS), "pairs", narrow=True), crowd
-
-
-def _bit(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(64 * FILTER_WORDS))
+    own = reps.select("rep", F.col("n_shingles").alias("n"), "bits")
+    both = pairs.join(own.withColumnsRenamed({"rep": "a", "n": "n_a", "bits": "bits_a"}), "a").join(own.withColumnsRenamed({"rep": "b", "n": "n_b", "bits": "bits_b"}), "b")
+    return stage(both.mapInPandas(_possible, LINKS).distinct(), "pairs", narrow=True), crowd.distinct()
 
 
 def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_hit``: true for every id in ``ids``, and for some others.
+    """``docs`` with ``_hit``: true where doc_id is null or in ``ids``, and for some others.
 
-    A bit filter of at most FILTER_WORDS words is broadcast, so that texts in
-    no pair are never shuffled; the joins that follow are exact.
+    A bit filter that is sized by the number of ids is broadcast, so that
+    texts in no pair are never shuffled; the joins that follow are exact.
     """
-    words = ids.select(_bit("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    rows = docs.withColumn("_at", _bit("doc_id")).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), F.col("_word") == F.col("word"), "left")
-    return rows.select(*docs.columns, F.expr("coalesce((shiftright(bits, cast(_at % 64 as int)) & 1L) = 1L, false)").alias("_hit"))
+    n = ids.count()
+    words = 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (n // 4).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(64 * words))
+    held = ids.where("doc_id is not null").select(bit.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_there")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    rows = docs.withColumn("_at", bit).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(held), F.col("_word") == F.col("_there"), "left")
+    return rows.select(*docs.columns, F.expr("doc_id is null or coalesce((shiftright(_bits, cast(_at % 64 as int)) & 1L) = 1L, false)").alias("_hit"))
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component alone; of rows that repeat it, one."""
-    found = stage(near_duplicates(docs), "classes", narrow=True)
-    gone = found.where("not kept").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = flagged(docs, gone.unionByName(again))
-    # only what the filter hits has to be shuffled
-    touched = rows.where("_hit").select(*docs.columns).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return rows.where("not _hit").select(*docs.columns).unionByName(touched.select(*docs.columns))
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        texts = rows.column("text") if "text" in rows.schema.names else rows.column("row").field("text")
+        keys = [key_of(w) if (w := split_words(t.as_py())) else b"" for t in texts]
+        yield rows.append_column("key", pa.array(keys, pa.binary()))
+
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs``, with a text or a row that has one, and the digest of its word sequence: empty for wordless texts."""
+    return docs.mapInArrow(_keyed, T.StructType([*docs.schema.fields, T.StructField("key", T.BinaryType())]))
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+
+def texts_of(reps: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the nodes; one text stands for equal word sequences."""
+    need = reps.join(nodes, "rep", "left_semi").select("rep", "key", "name")
+    rows = flagged(docs, need.select(F.col("name").alias("doc_id"))).where("_hit").select("text")
+    return with_key(rows).groupBy("key").agg(F.first("text").alias("text")).join(need.select("rep", "key"), "key").select("rep", "text")
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b) of linked labels: those of the pairs whose full sets are similar enough."""
-    met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = stage(flagged(docs, met).where("_hit").select("doc_id", "text"), "texts")
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    links = both.select(*LINK, "text_a", "text_b").mapInPandas(_confirm, LINKS)
-    return links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    met = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = stage(texts_of(reps, met, docs), "texts")
+    both = pairs.join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b")
+    links = both.select(*LINK, "text_a", "text_b").mapInArrow(_confirm, LINKS)
+    return stage(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links", narrow=True)
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        words = [split_words(t) for t in rows["text"]]
-        own = [hashlib.md5(b" ".join(w)).digest() == bytes(k) for w, k in zip(words, rows["key"], strict=True)]
-        held = [shingles(w) if o else None for w, o in zip(words, own, strict=True)]
-        out = pd.DataFrame({"rep": rows["rep"], "label": rows["label"], "shingles": [None if h is None else h.tobytes() for h in held]})
-        yield out[own]
+        held = [shingles(split_words(t.as_py())).tobytes() for t in rows.column("text")]
+        yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array(held, pa.binary())], ["rep", "shingles"])
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,27 +426,32 @@ def prefix(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray) -> np.nda
     return hashes[np.lexsort((hashes, rank))[:size]]
 
 
+CROWD = "h long, rep long, label long, n long, bits binary"
+
+
 def _prefixes(ranked: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for at in range(0, len(rows), 500):
-                some = rows.iloc[at : at + 500]
+            for at in range(0, len(rows), 100):
+                some = rows.iloc[at : at + 100]
                 sets = [np.frombuffer(x, np.int64) for x in some["shingles"]]
                 firsts = [prefix(x, ranked, counts) for x in sets]
                 each = [len(x) for x in firsts]
                 if each:
-                    yield pd.DataFrame({"h": np.concatenate(firsts), "rep": np.repeat(some["rep"].to_numpy(), each), "label": np.repeat(some["label"].to_numpy(), each), "n": np.repeat([len(x) for x in sets], each)})
+                    yield pd.DataFrame({"h": np.concatenate(firsts), **{c: np.repeat(some[c].to_numpy(), each) for c in ("rep", "label")}, "n": np.repeat([len(x) for x in sets], each), "bits": np.repeat(some["bits"].to_numpy(), each)})
 
     return run
 
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of sorted rows of one group; of two blocks, one row from either."""
+    """Pairs of sorted rows of one group that may be linked; of two blocks, one row from either. Each pair comes once from a task."""
     names = ["h", "low", "high", "block", "rep", "label", "n"]
-    left = pd.DataFrame({c: np.empty(0, np.int64) for c in names})
+    left = None
+    seen: set[tuple[int, int]] = set()
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         h, low, high, block, rep, label, n = (rows[c].to_numpy(np.int64) for c in names)
+        bits = unpacked(list(rows["bits"]))
         for step in range(1, len(h)):
             a, b = slice(None, -step), slice(step, None)
             same = (h[a] == h[b]) & (low[a] == low[b]) & (high[a] == high[b])
@@ -390,11 +459,21 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 break
             i = np.flatnonzero(same & (label[a] != label[b]) & ((low[a] == high[a]) | (block[a] != block[b])))
             i = i[DENOMINATOR * np.minimum(n[i], n[i + step]) >= NUMERATOR * np.maximum(n[i], n[i + step])]
-            if len(i):
-                yield _pair_frame(rep, label, i, i + step)[LINK].drop_duplicates()
+            i = i[may_link(bits, i, bits, i + step, n[i] + n[i + step])] if len(i) else i
+            fresh = []
+            for k in i:
+                pair = (min(rep[k], rep[k + step]), max(rep[k], rep[k + step]))
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(k)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if fresh:
+                fresh = np.array(fresh)
+                yield _pair_frame(rep, label, fresh, fresh + step)[LINK]
 
     for rows in batches:
-        rows = pd.concat([left, rows[names]])
+        rows = rows if left is None else pd.concat([left, rows])
         if not len(rows):
             continue
         last = rows.iloc[-1]
@@ -402,7 +481,8 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = ((rows["h"] == last["h"]) & (rows["low"] == last["low"]) & (rows["high"] == last["high"])).to_numpy()
         yield from pairs(rows[~open_])
         left = rows[open_]
-    yield from pairs(left)
+    if left is not None:
+        yield from pairs(left)
 
 
 def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -412,64 +492,125 @@ def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 
 
 def crowd_links(sets: DataFrame) -> DataFrame:
-    """(rep, label, shingles) -> (a, b) of all labels with linked sets; no pair is left to chance."""
+    """(rep, label, bits, shingles) -> (a, b) of all labels with linked sets; no pair is left to chance."""
     counts = sets.mapInPandas(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") > GROUP).orderBy(F.desc("n"), "h").limit(RANKED).orderBy("h").toPandas()
     ranked, often = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    rows = stage(sets.mapInPandas(_prefixes(ranked, often), "h long, rep long, label long, n long"), "prefixes")
-    groups = rows.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    rows = rows.join(groups.select("h", F.ceil(F.col("size") / GROUP).alias("blocks")), "h")
+    prefixes = stage(sets.mapInPandas(_prefixes(ranked, often), CROWD), "prefixes")
+    groups = prefixes.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    rows = prefixes.join(groups.select("h", F.ceil(F.col("size") / GROUP).alias("blocks")), "h")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label", "n")
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label", "n", "bits")
     rows = rows.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
     pairs = stage(rows.mapInPandas(_met, LINKS).distinct(), "pairs", narrow=True)
     blocks = F.lit(max(1, sets.count() // ROWS_PER_BLOCK))
-    pairs = pairs.select(*LINK, *(F.pmod(F.xxhash64(c), blocks).alias(to) for c, to in (("a", "x"), ("b", "y"))))
-    need = pairs.select("x", "y", F.col("a").alias("rep")).unionByName(pairs.select("x", "y", F.col("b").alias("rep"))).distinct()
+    dealt = pairs.select(*LINK, *(F.pmod(F.xxhash64(c), blocks).alias(to) for c, to in (("a", "x"), ("b", "y"))))
+    need = dealt.select("x", "y", F.col("a").alias("rep")).unionByName(dealt.select("x", "y", F.col("b").alias("rep"))).distinct()
     need = stage(need, "needed", narrow=True)
-    both = pairs.groupBy("x", "y").cogroup(need.join(sets.select("rep", "shingles"), "rep").groupBy("x", "y"))
+    both = dealt.groupBy("x", "y").cogroup(need.join(sets.select("rep", "shingles"), "rep").groupBy("x", "y"))
     links = both.applyInPandas(_compare, LINKS)
-    return links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    links = stage(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links", narrow=True)
+    discard(prefixes, pairs, need)
+    return links
 
 
-def crowd_sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, rep, label) -> rep, label and full shingle set."""
-    texts = flagged(docs, reps.select(F.col("rep").alias("doc_id"))).where("_hit").select(F.col("doc_id").alias("rep"), "text")
-    sets = texts.join(reps.select("key", "rep", "label"), "rep").mapInPandas(_sets, "rep long, label long, shingles binary")
-    return stage(sets.dropDuplicates(["rep"]), "sets")
+def crowd_sets(crowd: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, label, bits and full shingle set of the nodes in ``crowd``."""
+    sets = texts_of(reps, crowd, docs).mapInArrow(_sets, "rep long, shingles binary")
+    return stage(sets.join(reps.select("rep", "label", "bits"), "rep"), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) -> (node, label): the smallest node reachable. Labels spread along links, then along labels, until none changes."""
+    """(a, b) -> (node, label): the smallest node reachable. Labels spread along links, then along labels, until none changes.
+
+    A node or label that holds very many rows is joined by broadcast (see
+    ``by_hot_key``), so a giant component is no one task's.
+    """
     links = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links", narrow=True)
     labels = stage(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels", narrow=True)
+    held = labels
     while True:
-        best = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("label").alias("best"))
+        best = by_hot_key(links, labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("best"))
         spread = stage(labels.join(best, labels.node == best.u).select("node", F.col("label").alias("old"), F.least("label", "best").alias("label")), "labels", narrow=True)
         roots = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = stage(spread.join(roots, "label").select("node", "old", F.col("root").alias("label")), "labels", narrow=True)
-        labels = jumped.select("node", "label")
+        jumped = stage(by_hot_key(spread, roots, "label").select("node", "old", F.col("root").alias("label")), "labels", narrow=True)
+        discard(held, spread)
+        held, labels = jumped, jumped.select("node", "label")
         if jumped.where("old <> label").isEmpty():
+            discard(links)
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(docs.mapInPandas(_signed, "doc_id long, n_shingles long, key binary, sig binary"), "signed")
-    reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = stage(reps, "reps")
+def _renamed(components_: DataFrame) -> DataFrame:
+    return components_.select(F.col("node").alias("label"), F.col("label").alias("last"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (doc_id, n_shingles, key ...) and (key, label) of every word sequence."""
+    kind = docs.schema["doc_id"].dataType
+    fields = [T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("key", "sig", "bits"))]
+    signed = stage(docs.mapInArrow(_signed, T.StructType(fields)), "signed")
+    wordy = signed.where("key is not null")
+    reps = wordy.groupBy("key").agg(F.min("doc_id").alias("name"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bits")))
+    # nodes get their numbers as they are written, once for all
+    reps = stage(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
     first = reps.withColumn("label", F.col("rep"))
-    near = components(confirm(candidate_pairs(first, True)[0], docs))
-    second = reps.join(near, reps.rep == near.node, "left").select("key", "rep", "n_shingles", "sig", F.coalesce("label", "rep").alias("label"))
+    pairs, _ = candidate_pairs(first, True)
+    near = components(confirm(pairs, reps, docs))
+    second = reps.join(near, reps.rep == near.node, "left").select(*reps.columns, F.coalesce("label", "rep").alias("label"))
     second = stage(second, "reps")
+    discard(reps)
     pairs, crowd = candidate_pairs(second, False)
-    far = components(confirm(pairs, docs)).select(F.col("node").alias("label"), F.col("label").alias("last"))
-    named = stage(second.select("key", "rep", "label").join(far, "label", "left").select("key", "rep", F.coalesce("last", "label").alias("label")), "named", narrow=True)
+    far = components(confirm(pairs, second, docs))
+
+    def relabelled(named: DataFrame, by: DataFrame) -> DataFrame:
+        return stage(by_hot_key(named, _renamed(by), "label", "left").withColumn("label", F.coalesce("last", "label")).drop("last"), "named", narrow=True)
+
+    named = relabelled(second.select("key", "rep", "name", "label"), far)
     if not crowd.isEmpty():
-        rest = components(crowd_links(crowd_sets(named.join(crowd, "rep", "left_semi"), docs))).select(F.col("node").alias("label"), F.col("label").alias("last"))
-        named = stage(named.join(rest, "label", "left").select("key", F.coalesce("last", "label").alias("label")), "named", narrow=True)
-    named = named.select("key", F.col("label").alias("component_id"))
-    wordy = signed.where("key is not null").select("doc_id", "n_shingles", "key").join(named, "key").select("doc_id", "n_shingles", "component_id")
+        sets = crowd_sets(crowd, second.drop("label").join(named.select("rep", "label"), "rep"), docs)
+        links = crowd_links(sets)
+        discard(sets)
+        named = relabelled(named, components(links))
+    # texts that share a doc_id
+    hubs = wordy.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub <> other").select("doc_id", "hub")
+    if not hubs.isEmpty():
+        same = by_hot_key(wordy.select("doc_id", "key"), hubs, "doc_id").where("hub <> key").select("hub", "key").distinct()
+        label = named.select("key", "label")
+        links = same.join(label.withColumnRenamed("label", "a"), "key").join(label.withColumnsRenamed({"key": "hub", "label": "b"}), "hub").where("a <> b")
+        named = relabelled(named, components(links.select("a", "b")))
+    discard(second)
+    return signed, named
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
+    signed, named = _classes(docs.select("doc_id", "text"))
+    names = named.groupBy("label").agg(F.min("name").alias("component_id"))
+    named = stage(by_hot_key(named, names, "label").select("key", "component_id"), "classes", narrow=True)
+    wordy = by_hot_key(signed.where("key is not null").select("doc_id", "n_shingles", "key"), named, "key").select("doc_id", "n_shingles", "component_id")
     wordless = signed.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return wordy.unionByName(wordless).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return wordy.unionByName(wordless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those of its smallest doc_id.
+
+    Of rows that share an id or have none, and have the same word sequence,
+    one stays. Wordless rows all stay, but for such repeats.
+    """
+    signed, named = _classes(docs.select("doc_id", "text"))
+    names = named.groupBy("label").agg(F.min("name").alias("smallest"), F.min(F.when(F.col("name").isNull(), F.col("key"))).alias("nameless"))
+    named = stage(by_hot_key(named, names, "label").select("key", "smallest", "nameless"), "classes", narrow=True)
+    rows = by_hot_key(signed.select("doc_id", "key"), named, "key", "left")
+    # a component without any id keeps one of its sequences
+    stays = F.when(F.col("key").isNull(), F.lit(True)).when(F.col("smallest").isNull(), F.col("key") == F.col("nameless")).otherwise(F.coalesce(F.col("doc_id") == F.col("smallest"), F.lit(False)))
+    judged = rows.groupBy("doc_id", F.coalesce("key", F.lit(b"")).alias("key")).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    judged = stage(judged, "judged", narrow=True)
+    touched = judged.groupBy("doc_id").agg(F.bool_and("stays").alias("whole"), F.sum("n").alias("n")).where("not whole or n > 1")
+    marked = flagged(docs.select("doc_id", F.struct(*docs.columns).alias("row")), touched.select("doc_id"))
+    # only what the filter hits has to be shuffled
+    hit = with_key(marked.where("_hit").select("doc_id", "row")).groupBy("doc_id", "key").agg(F.first("row").alias("row"))
+    stay = judged.where("stays").select(F.col("doc_id").alias("id"), F.col("key").alias("sequence"))
+    kept = hit.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("sequence")), "left_semi")
+    return marked.where("not _hit").select("row.*").unionByName(kept.select("row.*"))

@@ -1,16 +1,20 @@
 """Quality rules: a decision list learned by sequential covering, applied as Spark conditions.
 
-Statistics of whole texts are Spark expressions, taken once and kept on disk. A
-bounded sample of labelled rows (``max_labelled``, chosen by a hash of the
-key over all labels) goes to the driver, where rules for the bad class are
-grown condition by condition on two thirds and pruned on the rest. The list
-becomes an ordered CASE WHEN: the first rule that fits decides.
-
-Defined results: a null text has no words and fails the base; texts of any
-length are read whole; repeated rows are judged alike; an empty table gives
-an empty result; without labels of both classes the list is empty and only
-the base decides; labels that repeat count once, the lowest quality standing;
-other columns are ignored.
+Statistics of whole texts are Spark expressions. A bounded sample of labels
+(``max_labelled``, chosen by a hash of the key over all labels) is broadcast
+to the documents; one row for each of them goes to the driver, where rules for
+the bad class are grown condition by condition on two thirds and pruned on the
+rest. The list becomes an ordered CASE WHEN: the first rule that fits decides,
+in the same pass that takes the statistics. Nothing is kept in between.
+
+Defined results: a null or empty text has no words and fails the base; texts
+of any length are read whole; repeated rows are judged alike, also with a null
+doc_id; of labelled rows that repeat a doc_id the learner sees one, the least
+by its statistics; labels that repeat count once, the lowest quality standing;
+ties between conditions go to the first feature by name and then the lowest
+threshold; an empty table gives an empty result; without labels of both
+classes the list is empty and only the base decides; columns outside ``keep``
+are ignored, and a kept column with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,43 +25,52 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import WHITE, gathered, kept_rows
+from mapweave.llm.common import WHITE, computed, packed
 
 SPLIT = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MAX_LABELLED = 20_000
 
 
+COUNTS = (*BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")
+RESULT = (*COUNTS, "base_failed", "rule", "kept")
+
+
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the base counts and the counts that only the learner uses."""
+    """``_kept`` (the columns of ``keep`` as a struct), the base counts and the counts that only the learner uses."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    inner = F.trim(text, F.lit(WHITE))
-    rows = docs.select(*keep, text.alias("_t"), F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPLIT, -1)).alias("_w"), F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != "").alias("_l"))
+    rows = docs.select(packed(keep, RESULT).alias("_kept"), text.alias("_t"))
+    inner = F.trim("_t", F.lit(WHITE))
+    rows = computed(
+        rows, ("_kept", "_t"),
+        _w=F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPLIT, -1)),
+        _l=F.filter(F.split("_t", "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != ""),
+    )
     n = F.size("_w")
     # equal three-word windows stand side by side once sorted
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))))
-    rows = rows.select(*keep, "_t", "_w", "_l", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))).alias("_s"))
+    rows = computed(rows, ("_kept", "_t", "_w", "_l"), _s=F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))))
     again = F.filter("_s", lambda x, k: (F.get("_s", k + 1)["h"] == x["h"]) | ((k > 0) & (F.get("_s", F.greatest(k - 1, F.lit(0)))["h"] == x["h"])))
-    rows = rows.select(*keep, "_t", "_w", "_l", F.sort_array(F.transform(again, lambda x: x["i"])).alias("_r"))
+    rows = computed(rows, ("_kept", "_t", "_w", "_l"), _r=F.sort_array(F.transform(again, lambda x: x["i"])))
     # each repeated window covers three words, fewer where the next begins sooner
     covered = F.aggregate(F.transform("_r", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("_r", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
     def without(chars: str) -> Column:
         return F.length(F.translate(F.col("_t"), chars, ""))
 
-    return rows.select(
-        *keep,
-        F.size("_w").cast("long").alias("n_words"),
-        without(WHITE).cast("long").alias("word_chars"),
-        (F.length("_t") - without("#*$%&|<>")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
-        (F.length("_t") - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
-        (F.length("_t") - without("0123456789")).cast("long").alias("n_digits"),
-        (F.length("_t") - without("!?.,;:")).cast("long").alias("n_marks"),
-    )
+    counts = {
+        "n_words": F.size("_w"),
+        "word_chars": without(WHITE),
+        "n_symbols": F.length("_t") - without("#*$%&|<>"),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
+        "n_repeat_words": covered,
+        "n_lines": F.size("_l"),
+        "n_distinct": F.size(F.array_distinct("_w")),
+        "n_upper": F.length("_t") - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_digits": F.length("_t") - without("0123456789"),
+        "n_marks": F.length("_t") - without("!?.,;:"),
+    }
+    return computed(rows, ("_kept",), **{k: c.cast("long") for k, c in counts.items()})
 
 
 def base_failed() -> Column:
@@ -165,14 +178,18 @@ def decision(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Learn from at most about ``max_labelled`` labelled rows, chosen by hash; they alone reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
+    """Learn from at most about ``max_labelled`` labelled documents, chosen by hash; a row for each of them reaches the driver."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 48)) < (max_labelled << 48) // n)
     names = list(features())
-    rows = stats.where(~base_failed()).join(known, "doc_id").select("doc_id", "quality", *(c.alias(f"f_{k}") for k, c in features().items())).toPandas()
+    known = known.select(F.col("doc_id").alias("_id"), "quality")
+    some = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
+    rows = statistics(some, ("_id", "quality")).where(~base_failed())
+    one = F.min(F.struct(F.col("_kept.quality").alias("quality"), *(c.alias(f"f_{k}") for k, c in features().items()))).alias("x")
+    rows = rows.groupBy(F.col("_kept._id").alias("_id")).agg(one).select("_id", "x.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")
     bad = rows["quality"].to_numpy() == 0
     if not bad.any() or bad.all():
@@ -183,7 +200,6 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
 
 def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``keep``, the base counts, base_failed, rule (0: none) and kept."""
-    stats, n = kept_rows(statistics(docs, keep))
-    rules = fit(stats, labels, max_labelled)
-    rows = (stats if "text" in keep else gathered(stats, n)).select(*keep, *BASE, base_failed().alias("base_failed"), decision(rules).alias("rule"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rules = fit(docs, labels, max_labelled)
+    rows = computed(statistics(docs, keep), ("_kept", *BASE), base_failed=base_failed(), rule=decision(rules))
+    return rows.select("_kept.*", *BASE, "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))

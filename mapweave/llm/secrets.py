@@ -6,11 +6,17 @@ are joined as intervals: a weak part counts only when its complement lies
 within ``SCOPE`` code points of it in the same text. An identifier needs a
 secret, a key needs an identifier or an endpoint, an endpoint needs both.
 
-The join runs inside each row over that text's parts; it emits no pairs.
+The join runs inside each row over that text's parts, which are sorted by
+their places: each part looks up the first of the other kind that reaches its
+scope, by binary search. It emits no pairs.
 
-Defined results: a null text is empty and has no spans; positions are code
-points, ends exclusive; repeated rows each get their spans; an empty table
-gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no spans; texts of any length are
+read whole, in time that grows with the length and the logarithm of the number
+of parts; positions are code points, ends exclusive; spans that begin together
+sort by end and then by kind; repeated rows and rows with a null doc_id each
+get their spans; an empty table gives an empty result; columns outside
+``keep`` are ignored, and a kept column named ``base`` or ``spans`` gives way
+to the result.
 """
 
 from __future__ import annotations
@@ -18,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import count_kind, regex_spans, span_text
+from mapweave.llm.common import any_of, computed, count_kind, let, meets, packed, regex_spans, span_text
 
 KINDS = ("assign", "access", "hex")
-KEYWORD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
+KEYWORD = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?"
 PATTERNS = {
     "assign": KEYWORD + r"[A-Za-z0-9+/_.=-]++",
     "access": r"AKIA[A-Z0-9]{16,}+",
@@ -30,7 +36,7 @@ PATTERNS = {
 KEY = "[A-Za-z0-9+/_=-]"
 WEAK_PATTERNS = {
     "identifier": r"(?<![A-Za-z0-9])(?=[A-Z]{0,31}[0-9])(?=[0-9]{0,31}[A-Z])[A-Z0-9]{16,32}(?![A-Za-z0-9])",
-    "key": rf"(?<!{KEY})(?=[A-Za-z+/_=-]{{0,63}}[0-9])(?=[A-Z0-9+/_=-]{{0,63}}[a-z])(?=[a-z0-9+/_=-]{{0,63}}[A-Z]){KEY}{{32,64}}(?!{KEY})",
+    "key": rf"(?<!{KEY})(?=[A-Za-z+/_=-]{{0,63}}[0-9])(?=[A-Z0-9+/_=-]{{0,63}}[a-z])(?=[a-z0-9+/_=-]{{0,63}}[A-Z]){KEY}{{32,}}+",
     "endpoint": r"(?<![A-Za-z])(?:https?|s3|postgres|mysql|redis|mongodb)://[A-Za-z0-9.-]{3,253}(?::[0-9]{1,5})?",
 }
 SCOPE = 256
@@ -39,31 +45,27 @@ MIN_ASSIGNED = 6
 
 def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), scope: int = SCOPE) -> DataFrame:
     """``keep``, ``base`` and ``spans``: sorted arrays of struct<start, end, rank, kind, value>."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    rows = rows.select(*keep, *(regex_spans(F.col("_text"), p, k, i).alias(f"_{k}") for i, (k, p) in enumerate({**PATTERNS, **WEAK_PATTERNS}.items())))
+    rows = docs.select(packed(keep, ("base", "spans")).alias("_kept"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    where = {
+        "assign": let("low", "lower(_text)", any_of("low", "password", "passwd", "secret", "token", "apikey", "api_key")),
+        "access": any_of("_text", "AKIA"),
+        "endpoint": any_of("_text", "://"),
+    }
+    found = {k: regex_spans("_text", p, k, i, where.get(k, "true")) for i, (k, p) in enumerate({**PATTERNS, **WEAK_PATTERNS}.items())}
     # what follows the keyword must be long enough; a match that fails is dropped whole
-    assigned = F.filter("_assign", lambda s: F.length(F.regexp_replace(s["value"], "^" + KEYWORD, "")) >= MIN_ASSIGNED)
-    rows = rows.select(*keep, F.sort_array(F.concat(assigned, "_access", "_hex")).alias("base"), *(f"_{k}" for k in WEAK_PATTERNS))
+    found["assign"] = F.filter(found["assign"], lambda s: F.length(F.regexp_replace(s["value"], "^" + KEYWORD, "")) >= MIN_ASSIGNED)
+    rows = computed(rows, ("_kept",), **found)
 
-    def touches(s: Column) -> Column:
-        return F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def near(within: int, *kinds: str) -> str:
+        return "(" + " OR ".join(meets(k, f"s.start - {within}", f"s.end + {within}") for k in kinds) + ")"
 
-    rows = rows.select(*keep, "base", *(F.filter(f"_{k}", lambda s: ~touches(s)).alias(f"_{k}") for k in WEAK_PATTERNS))
-    rows = rows.select(
-        *keep, "base", *(f"_{k}" for k in WEAK_PATTERNS),
-        F.concat("_identifier", F.filter("base", lambda s: s["kind"] == "access")).alias("_ids"),
-        F.concat("_key", F.filter("base", lambda s: s["kind"] != "access")).alias("_secrets"),
-    )
-
-    def near(s: Column, parts: str) -> Column:
-        return F.exists(parts, lambda p: (p["start"] <= s["end"] + scope) & (s["start"] <= p["end"] + scope))
-
-    linked = F.concat(
-        F.filter("_identifier", lambda s: near(s, "_secrets")),
-        F.filter("_key", lambda s: near(s, "_ids") | near(s, "_endpoint")),
-        F.filter("_endpoint", lambda s: near(s, "_ids") & near(s, "_secrets")),
-    )
-    return rows.select(*keep, "base", F.sort_array(F.concat("base", linked)).alias("spans"))
+    # weak parts stand where no base span does
+    rows = computed(rows, ("_kept", *KINDS), **{k: F.expr(f"filter({k}, s -> NOT {near(-1, *KINDS)})") for k in WEAK_PATTERNS})
+    identifiers, keys = ("identifier", "access"), ("key", "assign", "hex")
+    links = {"identifier": near(scope, *keys), "key": near(scope, *identifiers, "endpoint"), "endpoint": f"{near(scope, *identifiers)} AND {near(scope, *keys)}"}
+    base = F.concat(*KINDS)
+    rows = computed(rows, ("_kept",), base=F.sort_array(base), spans=F.sort_array(F.concat(base, *(F.expr(f"filter({k}, s -> {link})") for k, link in links.items()))))
+    return rows.select("_kept.*", "base", "spans")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_pii_estimates_and_redaction(spark, docs_of):
     assert post["card", (1, 1, 1)] > 0.9 > 0.1 > post["card", (-1, -1, 0)]
     assert pii.estimate({}) == {} and pii.train({}) == {}
     found = pii.find_pii(docs_of("é mail a@b.co or 1.2.3.4!", None, "none"), keep=("doc_id", "text"))
-    assert [r[0] for r in found.orderBy("doc_id").select(pii.redact(found["text"], found["spans"])).collect()] == ["é mail <EMAIL> or <IP>!", None, "none"]
+    assert [r[0] for r in found.orderBy("doc_id").select(pii.redact("text", "spans")).collect()] == ["é mail <EMAIL> or <IP>!", None, "none"]
     assert pii.find_pii(docs_of("x").limit(0)).count() == 0
 
 
@@ -114,7 +114,7 @@ QUALITY_TEXTS = [*EDGES, "a b c a b c d", "x\n x\nx\n\n\nx", "a#$ b|c <d>", "a b
 
 
 def test_quality_counts(docs_of):
-    rows = {r["doc_id"]: r for r in quality_rules.statistics(docs_of(*QUALITY_TEXTS)).collect()}
+    rows = {r["_kept"]["doc_id"]: r for r in quality_rules.statistics(docs_of(*QUALITY_TEXTS)).collect()}
     for i, text in enumerate(QUALITY_TEXTS):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         triples = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
