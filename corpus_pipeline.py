@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in
 the columns of ``documents``; the last returns packed pieces. A stage's result
 is written and read again before the next one starts.
+
+Defined results: a null or empty text has too few words and goes with the
+quality rules; texts of any length are taken whole; of rows with equal id and
+words one stays; rows with a null doc_id are judged by their text alone, and
+of near copies among them one stays; ties go to the smallest doc_id; an empty
+table passes all stages and gives an empty result; columns beyond ``COLUMNS``
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates; of rows that repeat it, one."""
+    """The smallest doc_id of each group of near duplicates; of rows that repeat it and its words, one."""
     return near_dedup.without_duplicates(docs.select(*COLUMNS))
 
 
@@ -37,8 +44,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in angle brackets."""
     found = pii.find_pii(docs, keep=COLUMNS)
-    text = F.when(F.size("spans") > 0, pii.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", "n_chars", "spans").select(*COLUMNS[:4], _n_chars(F.size("spans") > 0))
+    return found.select("doc_id", pii.redact("text", "spans").alias("text"), "lang", "source", "n_chars", "spans").select(*COLUMNS[:4], _n_chars(F.size("spans") > 0))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
