@@ -9,14 +9,19 @@ of the benchmark are searched backward at once; the occurrences are located
 by walking to sampled positions, and their spans are merged per document.
 
 The documents are not shuffled. The benchmark's words are sent to the tasks
-in blocks of at most ``BLOCK_BYTES``; more blocks mean more passes.
-
-Defined results: a null or wordless text has no words and no hits; an item
-without words has no window, one with fewer words than a window is a window;
-items that repeat count under each of their ids, an item_id that repeats
-counts once, a null item_id is left out; repeated rows are judged alike; an
-empty table on either side gives no hits; other columns are ignored unless
-they are named in ``keep``.
+in blocks of at most ``BLOCK_BYTES``. Of a benchmark that takes several blocks
+a bit filter of all windows goes first, 16 bits a window and at most
+``FILTER_BYTES``: one pass over the documents parts those that can hold an
+occurrence from the others, and only the former are read again for each block.
+
+Defined results: a null, empty or wordless text has no words and no hits;
+texts of any length are searched whole; an item without words has no window,
+one with fewer words than a window is a window; items that repeat count under
+each of their ids, an item_id that repeats counts once, a null item_id is left
+out; repeated rows and rows with a null doc_id are judged alike; items that
+tie sort by their ids as strings; an empty table on either side gives no hits;
+columns outside ``keep`` are ignored, and a kept column with the name of a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,15 +30,17 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mapweave.llm.common import stage
+from mapweave.llm.common import discard, stage
 
 WINDOW = 13
 BLOCK_BYTES = 8_000_000
+FILTER_BYTES = 64 << 20
+RESULT = ("n_words", "n_hit", "spans", "items")
 SHARD_TOKENS = 1 << 20
 SAMPLE = 16
 #: A-Z lower-cased, digits, a-z and all bytes of non-ASCII characters kept, the rest blank.
@@ -233,34 +240,117 @@ def _paired(flat) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(flat[::2], flat[1::2], strict=True)]
 
 
+def window_hashes(words: list[bytes], lengths: Iterable[int]) -> np.ndarray:
+    """64-bit hashes of all runs of so many words, one after the other length."""
+    import xxhash
+
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = [np.empty(0, np.uint64)]
+    for size in lengths:
+        if len(each) >= size:
+            n = len(each) - size + 1
+            h = np.full(n, size, np.uint64)
+            for k in range(size):
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += each[k : k + n]
+            h ^= h >> np.uint64(32)
+            out.append(h)
+    return np.concatenate(out)
+
+
+def window_filter(known: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """A bit for each window of the benchmark, and the lengths of its windows."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for text in rows.column("text"):
+                words = split_words(text.as_py())
+                if words:
+                    size = min(window, len(words))
+                    found = np.unique(window_hashes(words, [size]))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), size, np.int64))], ["h", "size"])
+
+    rows = stage(known.select("text").mapInArrow(hashes, "h long, size long").distinct(), "windows")
+    lengths = sorted(r["size"] for r in rows.select("size").distinct().collect())
+    words = 1 << max(6, min((FILTER_BYTES // 8).bit_length() - 1, (rows.count() // 4).bit_length()))
+    at = F.pmod("h", F.lit(64 * words))
+    held = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(words, np.int64)
+    bits[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    discard(rows)
+    return bits.view(np.uint64), lengths
+
+
+def may_hold(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
+    """``docs`` with ``_n``, its number of words, and ``_may``: false only where no window of the benchmark occurs."""
+    bits, lengths = window_filter(known, window)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        bound = np.uint64(64 * len(held))
+        for rows in batches:
+            n, may = [], []
+            for text in rows.column("text"):
+                words = split_words(text.as_py())
+                at = window_hashes(words, lengths) % bound
+                n.append(len(words))
+                may.append(bool(((held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).any()))
+            yield rows.append_column("_n", pa.array(n, pa.int64())).append_column("_may", pa.array(may, pa.bool_()))
+
+    return docs.mapInArrow(test, T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_may", T.BooleanType())]))
+
+
+def _with(rows: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    for name, values in columns.items():
+        k = rows.schema.get_field_index(name)
+        rows = rows.append_column(name, values) if k < 0 else rows.set_column(k, name, values)
+    return rows
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """``keep`` (cut: its text without the spans), n_words, n_hit, ``spans`` to remove (word positions start, end, start, end ...) and ``items`` that occur, as sorted strings."""
     known = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # twice as many blocks as needed, as a hash doesn't deal evenly
     blocks = -(-total * 2 // block_bytes) if total > block_bytes else 1
-    held = tuple(dict.fromkeys((*keep, "text")))
-    schema = T.StructType([*docs.select(*held).schema.fields, T.StructField("_n", T.LongType()), T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-    rows = docs.select(*held, F.lit(0).cast("long").alias("_n"), F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    kept = [k for k in keep if k not in (*RESULT, "text")]
+    rows = docs.select(F.struct(*kept, F.lit(0).alias("_")).alias("_kept"), "text")
+    found = [T.StructField("_n", T.LongType()), T.StructField("_spans", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*rows.schema.fields, *found])
+    clean = None
+    if blocks > 1:
+        judged = stage(may_hold(rows, known, window), "judged")
+        none = {"_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")}
+        clean = judged.where("not _may").select("_kept", "text", "_n", *(c.alias(k) for k, c in none.items()))
+        rows = judged.where("_may").select("_kept", "text")
     for block in range(blocks):
         part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = [(r["item_id"], r["text"]) for r in part.collect()]
 
-        def search(batches: Iterator[pd.DataFrame], items=items, last=block + 1 == blocks) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pa.RecordBatch], items=items, last=block + 1 == blocks) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(items, window)
-            for pdf in batches:
-                pdf["_n"], spans, names = find_spans(pdf["text"], phrases)
-                pdf["_spans"] = [_flat(merge_spans([*new, *_paired(old)])) for new, old in zip(spans, pdf["_spans"], strict=True)]
-                pdf["_items"] = [sorted({*new, *old}) for new, old in zip(names, pdf["_items"], strict=True)]
+            for rows in batches:
+                texts = (t.as_py() for t in rows.column("text"))
+                n, spans, names = find_spans(texts, phrases)
+                if "_spans" in rows.schema.names:
+                    spans = [[*new, *_paired(old)] for new, old in zip(spans, rows.column("_spans").to_pylist(), strict=True)]
+                    names = [{*new, *old} for new, old in zip(names, rows.column("_items").to_pylist(), strict=True)]
+                spans = [merge_spans(x) for x in spans]
+                made = {"_n": pa.array(n, pa.int64()), "_spans": pa.array([_flat(x) for x in spans], pa.list_(pa.int32())), "_items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
                 if last and cut:
-                    pdf["text"] = [cut_words(t, _paired(x)) if len(x) else t for t, x in zip(pdf["text"], pdf["_spans"], strict=True)]
-                yield pdf
+                    made["text"] = pa.array([cut_words(t.as_py(), x) if x else t.as_py() for t, x in zip(rows.column("text"), spans, strict=True)], rows.schema.field("text").type)
+                yield _with(rows, **made)
 
-        rows = rows.mapInPandas(search, schema)
+        rows = rows.mapInArrow(search, schema)
         if block + 1 < blocks:
             rows = stage(rows, "searched")
+    if clean is not None:
+        rows = rows.unionByName(clean)
     hit = F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda acc, x: acc + x).cast("long")
-    return rows.select(*keep, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    own = [F.col("text") if k == "text" else F.col("_kept").getField(k).alias(k) for k in keep if k not in RESULT]
+    return rows.select(*own, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
 def contaminated() -> Column:

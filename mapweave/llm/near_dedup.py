@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +63,8 @@ NARROW_SET, NARROW_BITS, WIDE_BITS = 256, 1024, 4096
 #: The filter of ids has 16 bits an id and at most this many 64-bit words (16 MB), beyond which it passes ever more rows to the exact join that follows.
 FILTER_WORDS = 1 << 21
 CACHED_WORDS = 100_000
-#: Shingles that are ordered by their counts, last in every prefix; the order is free, the join exact under any.
-RANKED = 1 << 17
+#: The sketch of shingle counts travels in so many pieces and is added up by so many tasks' at a time.
+PIECES, FAN = 16, 64
 GROUP, ROWS_PER_BLOCK = 256, 2_000
 TEXTS_AT_ONCE = 64
 
@@ -247,12 +248,15 @@ def region_pairs(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, rep: np.ndarr
     return np.concatenate(firsts), np.concatenate(seconds)
 
 
-def crowded(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Which of the sorted rows are in regions too large to give all pairs."""
+def crowded(tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows are in regions too large to give all pairs, and of more than one label as far as these rows tell; a region at either end may go on elsewhere."""
     if len(tree) < 2:
         return np.zeros(len(tree), bool)
     region = _regions(tree, k1, k2)[0]
-    return np.bincount(region)[region] > REGION
+    mixed = np.zeros(region[-1] + 1, bool)
+    mixed[region[1:][(region[1:] == region[:-1]) & (label[1:] != label[:-1])]] = True
+    mixed[[0, -1]] = True
+    return mixed[region] & (np.bincount(region)[region] > REGION)
 
 
 ROW = ("tree", "k1", "k2", "rep", "n", "label")
@@ -291,7 +295,7 @@ def _scan(nearest: bool):
         for at in range(0, len(i), 100_000):
             yield _pair_frame(rep, label, i[at : at + 100_000], j[at : at + 100_000])
         if not nearest:
-            yield _crowd_frame(rep, label, crowded(tree, k1, k2))
+            yield _crowd_frame(rep, label, crowded(tree, k1, k2, label))
         for side, border, at in ((0, here, slice(-REGION, None)), (1, here - 1, slice(None, REGION))):
             yield pd.DataFrame({"edge": True, "a": rep[at], "b": 0, "la": label[at], "lb": 0, "border": border, "side": side, "tree": tree[at], "k1": k1[at], "k2": k2[at], "n": n[at]})
 
@@ -305,7 +309,7 @@ def _cross(nearest: bool):
         i, j = region_pairs(tree, k1, k2, rep, n, label, nearest)
         across = side[i] != side[j]
         pairs = _pair_frame(rep, label, i[across], j[across])
-        return pairs if nearest else pd.concat([pairs, _crowd_frame(rep, label, crowded(tree, k1, k2))])
+        return pairs if nearest else pd.concat([pairs, _crowd_frame(rep, label, crowded(tree, k1, k2, label))])
 
     return run
 
@@ -410,32 +414,65 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("rep"), pa.array(held, pa.binary())], ["rep", "shingles"])
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        values, n = np.unique(np.frombuffer(b"".join(rows["shingles"]), np.int64), return_counts=True)
-        yield pd.DataFrame({"h": values, "n": n})
+def _sketched(width: int):
+    """How many shingles of all sets of a task fall on each of ``width`` places, as sparse pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width, np.int64)
+        for rows in batches:
+            for x in rows.column("shingles"):
+                np.add.at(held, np.frombuffer(x.as_py(), np.uint64) % np.uint64(width), 1)
+        yield pa.RecordBatch.from_pandas(_pieces(held.reshape(PIECES, -1), TaskContext.get().partitionId()), preserve_index=False)
+
+    return run
+
+
+def _pieces(counts: np.ndarray, part: int, first: int = 0) -> pd.DataFrame:
+    places = [np.flatnonzero(c) for c in counts]
+    return pd.DataFrame({"piece": np.arange(first, first + len(counts), dtype=np.int32), "part": part, "at": [p.astype(np.int32).tobytes() for p in places], "n": [c[p].tobytes() for c, p in zip(counts, places, strict=True)]})
+
+
+def _added(width: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((1, width // PIECES), np.int64)
+        for at, n in zip(rows["at"], rows["n"], strict=True):
+            held[0, np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        return _pieces(held, int(rows["part"].iloc[0]) // FAN, int(rows["piece"].iloc[0]))
+
+    return run
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles by hash, as a sketch whose width follows their number, up to 4 million places; gathered in levels."""
+    total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    width = 1 << max(16, min(22, (total // 128).bit_length()))
+    shape = "piece int, part long, at binary, n binary"
+    rows = sets.select("shingles").mapInArrow(_sketched(width), shape)
+    add = _added(width)
+    for _ in range(2):
+        rows = rows.groupBy("piece", F.expr(f"part div {FAN}")).applyInPandas(lambda _, some: add(some), shape)
+    out = np.zeros((PIECES, width // PIECES), np.int64)
+    for r in rows.groupBy("piece").applyInPandas(add, shape).collect():
+        out[r["piece"], np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int64)
+    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
-def prefix(hashes: np.ndarray, ranked: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest of a set's shingles, so many that two linked sets share one. ranked: sorted frequent shingles."""
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a set's shingles, so many that two linked sets share one; the counts only order, and any order will do."""
     size = len(hashes) - -(-NUMERATOR * len(hashes) // DENOMINATOR) + 1
-    if not len(ranked):
-        return np.sort(hashes)[:size]
-    at = np.minimum(np.searchsorted(ranked, hashes), len(ranked) - 1)
-    rank = np.where(ranked[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, rank))[:size]]
+    return hashes[np.lexsort((hashes, counts[hashes.view(np.uint64) % np.uint64(len(counts))]))[:size]]
 
 
 CROWD = "h long, rep long, label long, n long, bits binary"
 
 
-def _prefixes(ranked: np.ndarray, counts: np.ndarray):
+def _prefixes(counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 100):
                 some = rows.iloc[at : at + 100]
                 sets = [np.frombuffer(x, np.int64) for x in some["shingles"]]
-                firsts = [prefix(x, ranked, counts) for x in sets]
+                firsts = [prefix(x, counts) for x in sets]
                 each = [len(x) for x in firsts]
                 if each:
                     yield pd.DataFrame({"h": np.concatenate(firsts), **{c: np.repeat(some[c].to_numpy(), each) for c in ("rep", "label")}, "n": np.repeat([len(x) for x in sets], each), "bits": np.repeat(some["bits"].to_numpy(), each)})
@@ -493,10 +530,7 @@ def _compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 
 def crowd_links(sets: DataFrame) -> DataFrame:
     """(rep, label, bits, shingles) -> (a, b) of all labels with linked sets; no pair is left to chance."""
-    counts = sets.mapInPandas(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > GROUP).orderBy(F.desc("n"), "h").limit(RANKED).orderBy("h").toPandas()
-    ranked, often = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    prefixes = stage(sets.mapInPandas(_prefixes(ranked, often), CROWD), "prefixes")
+    prefixes = stage(sets.mapInPandas(_prefixes(shingle_counts(sets)), CROWD), "prefixes")
     groups = prefixes.groupBy("h").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     rows = prefixes.join(groups.select("h", F.ceil(F.col("size") / GROUP).alias("blocks")), "h")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -10,11 +10,14 @@ with what the bin has left; where none fits, the best is cut to fill the gap.
 The task's last, unfilled bin is dealt into sequences of powers of two.
 
 So padding arises only where the segment or loss limit closes a bin early.
-Nothing is shuffled; memory is the pool and one batch.
-
-Defined results: a null or empty text is its end id alone; repeated rows are
-packed each; a text of any length is cut into pieces; an empty table gives an
-empty result; other columns are ignored. Sequence ids are unique, not gapless.
+Nothing is shuffled; memory is the pool and one text with its ids.
+
+Defined results: a null or empty text is its end id alone; repeated rows and
+rows with a null doc_id are packed each; a text of any length is cut into
+pieces; doc_id passes unchanged, whatever its type; a null ``loss_from`` is 0;
+pieces that tie are taken in the order of their arrival; an empty table gives
+an empty result; other columns are ignored, whatever their names. Limits below
+1 are refused. Sequence ids are unique, not gapless.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 END_ID = 1
 POOL = 128
@@ -39,6 +43,10 @@ class Limits:
     segments: int = 256
     loss: int = 2048
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError(f"a sequence needs room for a token, a segment and a loss-bearing token: {self}")
+
 
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library; special strings in a text are ordinary text.
@@ -182,24 +190,32 @@ def pack(docs: DataFrame, tokenizer: str | None = None, limits: Limits | None =
     limits = limits or Limits()
     masked = "loss_from" in docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema["doc_id"].dataType
+    fields = [T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in PIECES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encode = Encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        packer = None
+        packer, ids_as = None, None
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*packer.take(), strict=True)) or [()] * (1 + len(PIECES))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], ids_as), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", *PIECES])
+
         for rows in batches:
-            if not len(rows):
+            if not rows.num_rows:
                 continue
-            packer = packer or Packer(limits, int(rows["_part"].iloc[0]) << 40)
-            starts = rows["loss_from"].fillna(0) if masked else [0] * len(rows)
-            for doc, text, loss_from in zip(rows["doc_id"], rows["text"], starts, strict=True):
-                ids = np.append(encode(text or ""), np.uint32(END_ID))
-                packer.add(Piece(doc, 0, ids, len(ids), int(loss_from)))
-            yield pd.DataFrame(packer.take(), columns=["doc_id", *PIECES])
+            ids_as = rows.schema.field("doc_id").type
+            packer = packer or Packer(limits, rows.column("_part")[0].as_py() << 40)
+            starts = rows.column("loss_from") if masked else None
+            for k, (doc, text) in enumerate(zip(rows.column("doc_id"), rows.column("text"), strict=True)):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
+                packer.add(Piece(doc.as_py(), 0, ids, len(ids), int(starts[k].as_py() or 0) if masked else 0))
+            yield made()
         if packer:
             packer.finish()
-            yield pd.DataFrame(packer.take(), columns=["doc_id", *PIECES])
+            yield made()
 
-    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} long" for c in PIECES)])
     # sequences are numbered within partitions, whose number is a column: a task may be given several
-    return docs.select("doc_id", "text", *(["loss_from"] if masked else []), F.spark_partition_id().alias("_part")).mapInPandas(run, schema)
+    return docs.select("doc_id", "text", *(["loss_from"] if masked else []), F.spark_partition_id().alias("_part")).mapInArrow(run, T.StructType(fields))

@@ -176,6 +176,35 @@ def test_packing_limits():
     assert sum(by.values()) == sum({d: n for d, _, _, _, n, _, _ in rows}.values())
 
 
+def test_packing_by_loss(spark):
+    """Where few tokens bear loss, their limit decides and sequences mix texts of either kind."""
+    rows = [(i, "word " * 30, (0 if i % 2 else 28) if i % 5 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, loss_from long").coalesce(1)
+    packed = packing.pack(docs, limits=packing.Limits(tokens=512, segments=64, loss=128)).collect()
+    loss = Counter()
+    for r in packed:
+        first = rows[r["doc_id"]][2] or 0
+        loss[r["sequence_id"]] += max(0, r["start"] + r["length"] - max(first, r["start"]))
+    assert max(loss.values()) <= 128 and max(Counter(r["sequence_id"] for r in packed).values()) <= 64
+    assert sum(n >= 120 for n in loss.values()) > 0.9 * len(loss)
+    with pytest.raises(ValueError, match="room"):
+        packing.Limits(loss=0)
+
+
+def test_encoder_on_random_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    encode, r = packing.Encoder(path), random.Random(8)
+    signs = [chr(c) for low, high in ((9, 127), (0xA0, 0x600), (0x2000, 0x2100), (0x3040, 0x3100), (0x1F600, 0x1F650)) for c in range(low, high)]
+    for _ in range(300):
+        text = "".join(r.choice(signs) * r.choice((1, 1, 1, 2, 3)) for _ in range(r.randrange(200)))
+        assert encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_of_short_texts_waits_for_a_limit():
     packer = packing.Packer(packing.Limits(), 0)
     for d in range(1024):
@@ -189,45 +218,98 @@ def test_packing_of_short_texts_waits_for_a_limit():
     assert set(by.values()) == {2048}
 
 
-def test_lm_score(spark, docs_of):
+def lm_corpus():
     r = random.Random(4)
-    texts = [*EDGES, *(" ".join(f"{a} {a}x" for a in r.choices("abcdefgh", k=40)) for _ in range(200)), " ".join(r.choices("abcdefgh", k=400)), "a ax " * 10_000]
+    return [*EDGES, *(" ".join(f"{a} {a}x" for a in r.choices("abcdefgh", k=40)) for _ in range(200)), " ".join(r.choices("abcdefgh", k=400)), "a ax " * 10_000]
+
+
+def test_lm_score(docs_of):
+    texts = lm_corpus()
     docs = docs_of(*texts).repartition(3)
-    model = lm_score.fit(docs)
-    rows = {x["doc_id"]: x for x in lm_score.score(docs, model).collect()}
+    words, flat = lm_score.fit(docs)
+    rows = {x["doc_id"]: x for x in lm_score.score(docs, (words, flat)).collect()}
     assert len(rows) == len(texts)
     assert (rows[0]["n_tokens"], rows[0]["pseudo_log_likelihood"], rows[0]["mean_log_likelihood"]) == (0, 0.0, None)
     regular = np.mean([rows[k]["mean_log_likelihood"] for k in range(7, 207)])
     assert regular > rows[207]["mean_log_likelihood"] + 0.1
-    ids, net = lm_score.tokens(texts[10], model[0]), lm_score.Network(model[1])
-    # the network never sees the token it predicts
+    # the network never sees the token it predicts; its classes and words add up to one
+    ids, net = words.tokens(lm_score.split_words(texts[10])).astype(np.int64), lm_score.Network(flat, words.classes)
+    around = lm_score.contexts(ids)
     changed = ids.copy()
-    changed[5] = 1 + (ids[5] % (lm_score.CLASSES - 1))
-    assert np.array_equal(net.forward(lm_score.contexts(ids)[5:6])[1], net.forward(lm_score.contexts(changed)[5:6])[1])
-    one_by_one = sum(float(net.forward(lm_score.contexts(ids)[k : k + 1])[1][0, ids[k]]) for k in range(len(ids)))
+    changed[5] = 1 + ids[5] % 8
+    assert np.array_equal(around[5], lm_score.contexts(changed)[5])
+    every = net.log_probabilities(np.repeat(around[5:6], lm_score.WORDS + 1, 0), np.arange(1, lm_score.WORDS + 2))
+    assert abs(np.exp(every.astype(float)).sum() - 1) < 1e-3
+    one_by_one = sum(float(net.log_probabilities(around[k : k + 1], ids[k : k + 1])[0]) for k in range(len(ids)))
     assert abs(one_by_one - rows[10]["pseudo_log_likelihood"]) < 0.01
-    assert lm_score.score(docs.limit(0)).count() == 0
 
 
-def test_lm_score_tells_words_of_a_bucket_apart(docs_of):
-    known = [f"w{k}" for k in range(200)]
-    docs = docs_of(*[" ".join(known)] * 20)
-    model = lm_score.fit(docs)
-    listed = next(w for w in known if w.encode() not in model[0])
-    bucket = zlib.crc32(listed.encode()) % lm_score.BUCKETS
-    garbage = next(f"{k}qzj" for k in range(10_000) if zlib.crc32(f"{k}qzj".encode()) % lm_score.BUCKETS == bucket)
-    a, b = (r["pseudo_log_likelihood"] for r in lm_score.score(docs_of(f"w0 {listed} w1", f"w0 {garbage} w1"), model).orderBy("doc_id").collect())
+def test_lm_training_against_a_plain_loop(docs_of):
+    texts = lm_corpus()
+    words, flat = lm_score.fit(docs_of(*texts))
+    docs = docs_of(*texts)
+    order = {r["doc_id"]: r["order"] for r in lm_score.encoded(docs, words).collect()}
+    net = lm_score.Network.fresh(words.classes)
+    start = net.flat.copy()
+    held = net.views(np.full(net.SIZE, 0.1, np.float32))
+    ids = [words.tokens(lm_score.split_words(texts[d])).astype(np.int64) for d in sorted(order, key=order.get)]
+    around, target = [], []
+    for x in ids:
+        for k in range(len(x)):
+            around.append([x[k + o] if 0 <= k + o < len(x) else 0 for o in lm_score.OFFSETS])
+            target.append(x[k])
+    # blocks of 16 steps end with a text or with 16 batches of one
+    done, seen = 0, 0
+    for x in ids:
+        for at in range(0, len(x), 16 * lm_score.BATCH):
+            seen += min(len(x) - at, 16 * lm_score.BATCH)
+            if seen - done >= 16 * lm_score.BATCH:
+                for k in range(done, seen, lm_score.BATCH):
+                    net.step(np.array(around[k : min(seen, k + lm_score.BATCH)]), np.array(target[k : min(seen, k + lm_score.BATCH)]), held)
+                done = seen
+    for k in range(done, seen, lm_score.BATCH):
+        net.step(np.array(around[k : k + lm_score.BATCH]), np.array(target[k : k + lm_score.BATCH]), held)
+    assert seen == sum(map(len, ids))
+    assert np.allclose(flat - start, net.flat - start, atol=2e-3)
+
+
+def test_lm_gradient():
+    counts = np.array([50.0, 30, 20, 10, 5, 5, 5, 5])
+    classes = lm_score.Classes.of(counts, 40)
+    net = lm_score.Network.fresh(classes)
+    net.flat = net.flat.astype(np.float64)
+    net = lm_score.Network(net.flat, classes)
+    r = np.random.default_rng(1)
+    x, y = r.integers(0, 9, (40, 4)), r.integers(1, 9, 40)
+    before, held = net.flat.copy(), net.views(np.zeros(net.SIZE))
+    probe = lm_score.Network(before.copy(), classes)
+    net.step(x, y, held)
+    squares = np.concatenate([h.ravel() for h in held])
+    moved = np.flatnonzero(squares > 1e-6)
+    for k in r.choice(moved, 25):
+        values = []
+        for side in (1e-4, -1e-4):
+            probe.flat[:] = before
+            probe.flat[k] += side
+            values.append(-probe.log_probabilities(x, y).sum())
+        assert abs((values[0] - values[1]) / 2e-4) == pytest.approx(np.sqrt(squares[k]), rel=1e-2, abs=1e-4)
+
+
+def test_lm_score_does_not_depend_on_files(docs_of):
+    texts = lm_corpus()
+    a, b = (np.array(sorted((r["doc_id"], r["n_tokens"], r["pseudo_log_likelihood"]) for r in lm_score.score(docs_of(*texts).repartition(n)).collect())) for n in (1, 5))
+    assert np.allclose(a, b, rtol=1e-5, atol=1e-3)  # blocks of other texts may round otherwise
+    assert lm_score.score(docs_of("x").limit(0)).count() == 0
+
+
+def test_lm_score_tells_words_without_a_number_apart(docs_of):
+    known = [f"w{k}" for k in range(6000)]
+    words, flat = lm_score.fit(docs_of(*[" ".join(known)] * 8))
+    listed = next(w for w in known if w.encode() not in words.number)
+    a, b = (r["pseudo_log_likelihood"] for r in lm_score.score(docs_of(f"w0 {listed} w1", "w0 qzj w1"), (words, flat)).orderBy("doc_id").collect())
     assert a > b + 1
 
 
-def test_lm_training_takes_every_position(docs_of):
-    number = {b"a": 1, b"b": 2}
-    flat = lm_score.Network.fresh(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)).flat
-    # short texts count in every round, whatever their partition
-    docs = docs_of(*["a b"] * 40).repartition(2)
-    assert all(lm_score._changes(docs, number, flat, turn).any() for turn in range(lm_score.ROUNDS))
-
-
 def test_url_filter(spark):
     urls = {
         "https://a.NET/x": ("a.net", "/x", "net/", "block"), "http://www.example.net/en/1?q": ("www.example.net", "/en/1", "example.net/en/", "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"),
@@ -247,6 +329,14 @@ def test_url_filter_scans_whole_urls(spark):
     assert (got[0]["host"], got[0]["path"], got[2]["host"], got[2]["path"]) == ("a.com", "/go", "", "")
 
 
+def test_url_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Foo", 0.5), ("bar", 0.75), ("baz", 1.0), ("foo", 0.1), (None, 9.0)], "term string, weight double")
+    urls = ["http://a.com/foo", "http://a.com/foo/foo", "http://a.com/foo-bar", "http://a.com/baz", "http://a.com/foobar"]
+    got = url_filter.filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), vocabulary=terms, limit=1.0).orderBy("page_id").collect()
+    assert [(r["verdict"], r["n_strict"], r["n_soft"], r["weight"]) for r in got] == [("allow", 0, 1, 0.5), ("allow", 0, 1, 0.5), ("block", 0, 2, 1.25), ("block", 1, 0, 1.0), ("allow", 0, 0, 0.0)]
+    assert url_filter.filter_urls(spark.createDataFrame([(1, "http://porn.com")], "page_id long, url string"), vocabulary={}).first()["verdict"] == "allow"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
