@@ -10,7 +10,7 @@ from mapweave.functions import geometry as G
 from mapweave.functions.rules import is_area
 from mapweave.functions.text import json_object, json_string, merged
 from mapweave.operators import registry as R
-from mapweave.operators.relations import geometry_json, relation_nodes, relation_shapes
+from mapweave.operators.relations import expand, geometry_json, relation_nodes, relation_shapes
 from mapweave.options import Options
 
 #: Inside a relation's place: its area or lines, then its node members.
@@ -37,36 +37,67 @@ def way_json(points: Column, tags: Column) -> Column:
     return F.when(area, geometry_json("Polygon", F.array(G.oriented(ring, False)))).otherwise(geometry_json("LineString", ring))
 
 
-def _relation_features(kept: DataFrame, every: DataFrame, won: DataFrame, bound: DataFrame) -> DataFrame:
+def _relation_features(kept: DataFrame, won: DataFrame, bound: DataFrame, tree: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<double>")
-    shapes = relation_shapes(kept, won, bound)
+    shapes = relation_shapes(tree, won, bound)
     relations = kept.where("type = 'relation'").join(shapes, ["doc_id", "id"]).select("doc_id", place(F.col("ord"), OWN).alias("ord"), "type", "id", F.col("bounds").alias("bbox"), "props", "geometry")
-    points = relation_nodes(kept, every, won)
+    points = relation_nodes(kept, won)
     points = points.select("doc_id", place(F.col("ord"), MEMBERS, F.col("i")).alias("ord"), F.lit("node").alias("type"), "id", none.alias("bbox"), "props", point_json(F.col("at")).alias("geometry"))
     return relations.unionByName(points)
 
 
-def to_features(elements: DataFrame, options: Options | dict | None = None) -> DataFrame:
-    """doc_id, ord, type, id (type/id), bbox, properties and geometry (JSON texts), one row per feature.
+FEATURE = ("doc_id", "ord", "type", "id", "bbox", "properties", "geometry", "of_relation")
+
 
-    Skipped elements fall away before any geometry is built for them.
+def features_and_errors(elements: DataFrame, options: Options | dict | None = None) -> DataFrame:
+    """The columns of FEATURE, one row per feature, and ``error``: a document that can't be converted has a row with nothing else.
+
+    All keys hold doc_id, so with ``by_document`` one exchange serves every
+    join and aggregate that follows; without it each deals its own key, as
+    documents need that are too large for a task. Skipped elements fall away
+    before any geometry is built for them. No job runs while this is planned.
     """
     o = Options.of(options)
+    if o.by_document:
+        elements = elements.repartition(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     # read several times; what a lost executor held is computed again
     elements = elements.persist(StorageLevel.MEMORY_AND_DISK)
     every = R.instances(elements)
     won = R.registry(every).persist(StorageLevel.MEMORY_AND_DISK)
     kept = R.with_references(won, R.references(every)).where(R.is_kept(o))
-    bound = R.bind_ways(every, won)
+    bound = R.bind_ways(every, won).persist(StorageLevel.MEMORY_AND_DISK)
     none = F.lit(None).cast("array<double>")
     nodes = kept.where("type = 'node'").select("doc_id", place(F.col("ord"), OWN).alias("ord"), "type", "id", none.alias("bbox"), "props", point_json(F.col("at")).alias("geometry"))
     ways = kept.where("type = 'way'").join(bound, ["doc_id", "reg"]).where(F.size("points") > 1)
     ways = ways.select("doc_id", place(F.col("ord"), OWN).alias("ord"), "type", "id", none.alias("bbox"), "props", way_json(F.col("points"), F.col("tags")).alias("geometry"))
     out = nodes.unionByName(ways).withColumn("of_relation", F.lit(False))
-    # without relations a plan is a third as long
-    if not elements.where("type = 'relation'").isEmpty():
-        out = out.unionByName(_relation_features(kept, every, won, bound).withColumn("of_relation", F.lit(True)))
-    return out.select("doc_id", "ord", "type", F.concat_ws("/", "type", "id").alias("id"), "bbox", properties(F.col("type"), F.col("id"), F.col("props")).alias("properties"), "geometry", "of_relation")
+    tree = expand(kept, won)
+    out = out.unionByName(_relation_features(kept, won, bound, tree).withColumn("of_relation", F.lit(True)))
+    out = out.select("doc_id", "ord", "type", F.concat_ws("/", "type", "id").alias("id"), "bbox", properties(F.col("type"), F.col("id"), F.col("props")).alias("properties"), "geometry", "of_relation")
+    errors = tree.where("error is not null").select("doc_id", "error")
+    if o.strict:
+        clipped = every.where(F.exists("vertices", lambda v: v["ref"].isNull() & v["at"].isNull()))
+        errors = errors.unionByName(clipped.select("doc_id", F.concat(F.lit("a null vertex in way "), "id").alias("error")))
+    made = out.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
+    made._mapweave_held = (elements, won, bound)
+    return made
+
+
+def release(rows: DataFrame) -> None:
+    """Give back what features (or what was made of them) hold in memory, once they have been used."""
+    for held in getattr(rows, "_mapweave_held", ()):
+        held.unpersist()
+
+
+def to_features(elements: DataFrame, options: Options | dict | None = None) -> DataFrame:
+    """doc_id, ord, type, id (type/id), bbox, properties and geometry (JSON texts), one row per feature.
+
+    Relations of a document in which one contains itself have no features.
+    """
+    made = features_and_errors(elements, options)
+    out = made.where("error is null").select(*FEATURE)
+    out._mapweave_held = made._mapweave_held
+    return out
 
 
 def feature_json() -> Column:
@@ -75,15 +106,16 @@ def feature_json() -> Column:
 
 
 def to_collections(documents: DataFrame, features: DataFrame, options: Options | dict | None = None) -> DataFrame:
-    """(doc_id, geojson): a FeatureCollection per document, also where there are no features.
+    """(doc_id, geojson, error): a FeatureCollection per document, also where there are no features or an error.
 
     Unless the options ask for all features, the first feature of the first
     kept relation that has one stands alone, as a bare geometry.
     """
     o = Options.of(options)
-    rows = features.select("doc_id", F.struct("ord", feature_json().alias("json")).alias("f"), F.when(F.col("of_relation"), F.struct("ord", "geometry")).alias("bare"))
-    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("f"), F.min("bare").alias("bare"))
-    body = F.coalesce(F.array_join(F.transform("f", lambda f: f["json"]), ","), F.lit(""))
+    error = F.col("error") if "error" in features.columns else F.lit(None).cast("string")
+    rows = features.select("doc_id", F.when(error.isNull(), F.struct("ord", feature_json().alias("json"))).alias("f"), F.when(F.col("of_relation"), F.struct("ord", "geometry")).alias("bare"), error.alias("error"))
+    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("f")).alias("f"), F.min("bare").alias("bare"), F.min("error").alias("error"))
+    body = F.coalesce(F.when(F.col("error").isNull(), F.array_join(F.transform("f", lambda f: f["json"]), ",")), F.lit(""))
     whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}"))
-    text = whole if o.complete else F.coalesce(F.col("bare.geometry"), whole)
-    return documents.select("doc_id").join(grouped, "doc_id", "left").select("doc_id", text.alias("geojson"))
+    text = whole if o.complete else F.coalesce(F.when(F.col("error").isNull(), F.col("bare.geometry")), whole)
+    return documents.select("doc_id").join(grouped, "doc_id", "left").select("doc_id", text.alias("geojson"), "error")

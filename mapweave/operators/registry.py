@@ -12,15 +12,17 @@ _CARRIED = ("tagged", "tags", "props", "at", "vertices", "bounds", "members")
 
 
 def instances(elements: DataFrame) -> DataFrame:
-    """All elements and all members that bring their own geometry, each at its place ``reg``."""
-    top = elements.select("doc_id", "type", "id", F.struct(F.col("pos"), F.lit(0).alias("member")).alias("reg"), F.lit(False).alias("inline"), *_CARRIED)
-    members = elements.where(F.exists("members", lambda m: m["inline"])).select("doc_id", "pos", F.posexplode("members").alias("i", "m")).where("m.inline")
+    """All elements and all members that bring their own geometry, each at its place ``reg``.
+
+    Both come from one array a row, so the rows stay where they were dealt.
+    """
     kinds = dict(elements.select(*_CARRIED).dtypes)
-    own = members.select(
-        "doc_id", F.col("m.type").alias("type"), F.coalesce("m.ref", F.lit("undefined")).alias("id"), F.struct(F.col("pos"), (F.col("i") + 1).alias("member")).alias("reg"), F.lit(True).alias("inline"),
-        "m.tagged", F.lit(None).cast(kinds["tags"]).alias("tags"), "m.props", "m.at", "m.vertices", F.lit(None).cast(kinds["bounds"]).alias("bounds"), F.lit(None).cast(kinds["members"]).alias("members"),
-    )
-    return top.unionByName(own)
+    top = "struct(struct(pos, 0 AS member) AS reg, type, id, false AS inline, tagged, tags, props, at, vertices, bounds, members)"
+    own = (
+        "transform(filter(transform(coalesce(members, array()), (m, i) -> struct(m, i)), x -> x.m.inline), x -> struct(struct(pos, x.i + 1 AS member) AS reg, x.m.type AS type, coalesce(x.m.ref, 'undefined') AS id, true AS inline,"
+        f" x.m.tagged AS tagged, cast(null AS {kinds['tags']}) AS tags, x.m.props AS props, x.m.at AS at, x.m.vertices AS vertices, cast(null AS {kinds['bounds']}) AS bounds, cast(null AS {kinds['members']}) AS members))"
+    )
+    return elements.select("doc_id", F.expr(f"inline(concat(array({top}), {own}))")).select("doc_id", "type", "id", "reg", "inline", *_CARRIED)
 
 
 def registry(every: DataFrame) -> DataFrame:
@@ -32,9 +34,10 @@ def registry(every: DataFrame) -> DataFrame:
 
 def references(every: DataFrame) -> DataFrame:
     """(doc_id, type, id, n): late references of ways and relations, by all instances, also those that were replaced."""
-    nodes = every.where("type = 'way'").select("doc_id", F.lit("node").alias("type"), F.explode("vertices").alias("v")).where("v.ref is not null").select("doc_id", "type", F.col("v.ref").alias("id"))
-    members = every.where("type = 'relation'").select("doc_id", F.explode("members").alias("m")).where("not m.inline and m.type in ('node', 'way', 'relation')").select("doc_id", "m.type", F.col("m.ref").alias("id"))
-    return nodes.unionByName(members).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    nodes = "CASE WHEN type = 'way' THEN transform(filter(vertices, v -> v.ref IS NOT NULL), v -> struct('node' AS type, v.ref AS id)) END"
+    members = "CASE WHEN type = 'relation' THEN transform(filter(members, m -> NOT m.inline AND m.type IN ('node', 'way', 'relation')), m -> struct(m.type AS type, m.ref AS id)) END"
+    found = every.where("type IN ('way', 'relation')").select("doc_id", F.expr(f"inline(coalesce({nodes}, {members}))"))
+    return found.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
 def is_kept(options: Options) -> Column:
@@ -51,8 +54,10 @@ def with_references(won: DataFrame, refs: DataFrame) -> DataFrame:
 def bind_ways(every: DataFrame, won: DataFrame) -> DataFrame:
     """(doc_id, reg, points): the vertices of each way instance in order; nodes that don't exist drop out."""
     ways = every.where("type = 'way'").select("doc_id", "reg", F.posexplode("vertices").alias("i", "v"))
-    here = ways.where("v.ref is null and v.at is not null").select("doc_id", "reg", "i", "v.at")
+    # a vertex with a place of its own looks up what no node has, another for each
+    own = F.concat(F.lit("\0"), F.col("reg.pos").cast("string"), F.lit("/"), F.col("i").cast("string"))
+    ways = ways.select("doc_id", "reg", "i", F.coalesce("v.ref", own).alias("ref"), F.when(F.col("v.ref").isNull(), F.col("v.at")).alias("own"))
     nodes = won.where("type = 'node'").select("doc_id", F.col("id").alias("ref"), "at")
-    late = ways.where("v.ref is not null").select("doc_id", "reg", "i", "v.ref").join(nodes, ["doc_id", "ref"]).select("doc_id", "reg", "i", "at")
-    grouped = here.unionByName(late).groupBy("doc_id", "reg").agg(F.sort_array(F.collect_list(F.struct("i", "at"))).alias("p"))
+    found = ways.join(nodes, ["doc_id", "ref"], "left").withColumn("at", F.coalesce("own", "at")).where("at is not null")
+    grouped = found.groupBy("doc_id", "reg").agg(F.sort_array(F.collect_list(F.struct("i", "at"))).alias("p"))
     return grouped.select("doc_id", "reg", F.transform("p", lambda p: p["at"]).alias("points"))

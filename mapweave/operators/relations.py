@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import geometry as G
 from mapweave.operators.stitch import stitched
 
-MAX_DEPTH = 100
-
 
 def members_of(won: DataFrame) -> DataFrame:
     """(doc_id, id, i, m) of the relations that stand."""
@@ -29,34 +30,84 @@ def own_parts(won: DataFrame, bound: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "id", F.transform(F.filter("all", lambda x: x["exists"]), lambda x: x["points"]).alias("ways"), F.transform("all", lambda x: x["role"]).alias("roles"))
 
 
+EXPANDED = "root string, path array<int>, id string, error string"
+
+
+def below(roots: list[str], edges: list[dict]) -> Iterator[tuple[str, list[int], str]]:
+    """(root, path, id) of the roots and all relations below them, once for every way to reach them; without recursion, so at any depth."""
+    under: dict[str, list[tuple[int, str]]] = {}
+    for e in sorted(edges, key=lambda e: -e["i"]):
+        under.setdefault(e["from"], []).append((e["i"], e["ref"]))
+    for root in roots:
+        stack: list[tuple[list[int], str]] = [([], root)]
+        while stack:
+            path, here = stack.pop()
+            yield root, path, here
+            stack += [([*path, i], ref) for i, ref in under.get(here, ())]
+
+
 def expand(kept: DataFrame, won: DataFrame) -> DataFrame:
-    """(doc_id, root, path, id): each kept relation and all relations below it, once for every way to reach them.
+    """(doc_id, root, path, id, error): each kept relation and all relations below it, once for every way to reach them.
 
-    Raises where a relation contains itself.
+    A document in which a relation contains itself has one row, with an error.
+    The relations of one document, without their ways, are read by one task.
     """
-    rows = kept.where("type = 'relation'").select("doc_id", F.col("id").alias("root"), F.array().cast("array<int>").alias("path"), "id", F.array("id").alias("above"))
+    roots = kept.where("type = 'relation'").groupBy("doc_id").agg(F.collect_list("id").alias("roots"))
     stands = won.where("type = 'relation'").select("doc_id", F.col("id").alias("ref"))
-    below = members_of(won).where("m.type = 'relation'").select("doc_id", F.col("id").alias("from"), "i", "m.ref").join(stands, ["doc_id", "ref"])
-    if below.isEmpty():
-        return rows.drop("above")
-    out, front = rows, rows
-    for _ in range(MAX_DEPTH):
-        step = front.withColumnRenamed("id", "from").join(below, ["doc_id", "from"])
-        front = step.select("doc_id", "root", F.concat("path", F.array("i")).alias("path"), F.col("ref").alias("id"), F.concat("above", F.array("ref")).alias("above"), F.array_contains("above", F.col("ref")).alias("again")).cache()
-        state = front.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("again"), F.lit(False)).alias("again")).first()
-        if state["again"]:
-            raise ValueError("a relation contains itself: " + str(front.where("again").select("above").first()["above"]))
-        if not state["n"]:
-            return out.drop("above")
-        front = front.drop("again")
-        out = out.unionByName(front)
-    raise ValueError(f"relations are nested deeper than {MAX_DEPTH}")
-
-
-def relation_shapes(kept: DataFrame, won: DataFrame, bound: DataFrame) -> DataFrame:
-    """(doc_id, id, geometry) of the kept relations that form one, geometry as struct<type, coordinates> in JSON text."""
+    edges = members_of(won).where("m.type = 'relation'").select("doc_id", F.col("id").alias("from"), "i", "m.ref").join(stands, ["doc_id", "ref"])
+    # a cycle may also lie where no kept relation is above it
+    every = won.where("type = 'relation'").groupBy("doc_id").agg(F.collect_list("id").alias("every"))
+    grouped = every.join(roots, "doc_id", "left").join(edges.groupBy("doc_id").agg(F.collect_list(F.struct("from", "i", "ref")).alias("edges")), "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, (every_, roots_, edges_) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("every", "roots", "edges")), strict=True)):
+                try:
+                    if edges_:
+                        cyclic(every_, edges_)
+                    made = [(*r, None) for r in below(roots_ or [], edges_ or [])]
+                except ValueError as e:
+                    made = [(None, None, None, str(e))]
+                rows += made
+                at += [k] * len(made)
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "root", "path", "id", "error"])
+
+    kind = grouped.schema["doc_id"].dataType.simpleString()
+    return grouped.select("doc_id", "every", "roots", "edges").mapInArrow(run, f"doc_id {kind}, {EXPANDED}")
+
+
+def cyclic(ids: list[str], edges: list[dict]) -> None:
+    """Raises ValueError where a relation contains itself; every relation is looked at once."""
+    under: dict[str, list[str]] = {}
+    for e in edges:
+        under.setdefault(e["from"], []).append(e["ref"])
+    done: set[str] = set()
+    for root in ids:
+        stack, above = [(root, iter(under.get(root, ())))], [root]
+        on = {root}
+        while stack and root not in done:
+            here, rest = stack[-1]
+            ref = next(rest, None)
+            if ref is None:
+                stack.pop()
+                above.pop()
+                on.discard(here)
+                done.add(here)
+            elif ref in on:
+                raise ValueError("a relation contains itself: " + " > ".join([*above[above.index(ref) :], ref]))
+            elif ref not in done:
+                stack.append((ref, iter(under.get(ref, ()))))
+                above.append(ref)
+                on.add(ref)
+
+
+def relation_shapes(tree: DataFrame, won: DataFrame, bound: DataFrame) -> DataFrame:
+    """(doc_id, id, geometry) of the expanded relations that form one, geometry as struct<type, coordinates> in JSON text."""
     parts = own_parts(won, bound)
-    tree = expand(kept, won).join(parts, ["doc_id", "id"], "left")
+    tree = tree.where("error is null").select("doc_id", "root", "path", "id").join(parts, ["doc_id", "id"], "left")
     part = F.struct("path", F.coalesce("ways", F.array().cast(parts.schema["ways"].dataType)).alias("ways"), F.coalesce("roles", F.array().cast("array<string>")).alias("roles"))
     grouped = tree.groupBy("doc_id", "root").agg(F.collect_list(part).alias("parts"))
     # a relation's own roles alone choose between area and lines
@@ -81,10 +132,9 @@ def geometry_json(kind: str, coordinates):
     return F.to_json(F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")), {"ignoreNullFields": "false"})
 
 
-def relation_nodes(kept: DataFrame, every: DataFrame, won: DataFrame) -> DataFrame:
+def relation_nodes(kept: DataFrame, won: DataFrame) -> DataFrame:
     """(doc_id, ord, i, id, props, at): the node members that exist, as often as kept relations name them."""
-    nodes = members_of(kept).where("m.type = 'node'").select("doc_id", "ord", "i", "m.ref", "m.inline", "m.props", "m.at")
-    here = nodes.where("inline").select("doc_id", "ord", "i", F.coalesce("ref", F.lit("undefined")).alias("id"), "props", "at")
-    stands = won.where("type = 'node'").select("doc_id", F.col("id").alias("ref"), "props", "at")
-    late = nodes.where("not inline").select("doc_id", "ord", "i", "ref").join(stands, ["doc_id", "ref"]).select("doc_id", "ord", "i", F.col("ref").alias("id"), "props", "at")
-    return here.unionByName(late)
+    nodes = members_of(kept).where("m.type = 'node'").select("doc_id", "ord", "i", "m.inline", F.coalesce("m.ref", F.when(F.col("m.inline"), "undefined")).alias("id"), "m.props", "m.at")
+    stands = won.where("type = 'node'").select("doc_id", "id", F.struct("props", "at").alias("there"))
+    found = nodes.join(stands, ["doc_id", "id"], "left").where("inline or there is not null")
+    return found.select("doc_id", "ord", "i", "id", *(F.when(F.col("inline"), F.col(c)).otherwise(F.col(f"there.{c}")).alias(c) for c in ("props", "at")))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections import deque
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Point = list  # [x, y, key]
-
-
 class _Ends:
     """Waiting lines by the key of one of their ends, oldest first; what has been taken is skipped."""
 
@@ -28,65 +25,71 @@ class _Ends:
         return queue[0] if queue else None
 
 
-def stitch(lines: list[list[Point]]) -> list[list[Point]]:
-    """Greedy joining in order: the next waiting line is tried at both ends, then any line at the tail.
+Piece = tuple[int, bool]
+
+
+def chains(heads: list[str], tails: list[str]) -> list[list[Piece]]:
+    """Greedy joining of lines, known by the keys of their ends: the next waiting line is tried at both ends, then any line at the tail.
 
-    Every line is taken once, so the work grows with the number of points
-    and not with its square; a joint's second point is dropped.
+    Each result is a run of (line, turned); at a joint the second line's first
+    point is dropped. Every line is taken once, so the work grows with their
+    number and not with its square.
     """
-    lines = [x for x in lines if x]
-    heads, tails, waiting = _Ends(), _Ends(), [True] * len(lines)
-    for i, line in enumerate(lines):
-        heads.put(line[0][2], i)
-        tails.put(line[-1][2], i)
+    at_head, at_tail, waiting = _Ends(), _Ends(), [True] * len(heads)
+    for i, (a, z) in enumerate(zip(heads, tails, strict=True)):
+        at_head.put(a, i)
+        at_tail.put(z, i)
     out, front = [], 0
-    while front < len(lines):
+    while front < len(heads):
         if not waiting[front]:
             front += 1
             continue
         waiting[front] = False
-        # the growing line is two runs: `before` reversed, then `after`
-        before: list[Point] = []
-        after = list(lines[front])
+        # the growing line is two runs: `before` backwards, then `after`
+        before: list[Piece] = []
+        after: list[Piece] = [(front, False)]
 
-        def head() -> Point:
-            return before[-1] if before else after[0]
+        def end(piece: Piece, last: bool) -> str:
+            line, turned = piece
+            return tails[line] if last != turned else heads[line]
 
-        def tail() -> Point:
-            return after[-1] if after else before[0]
+        def head() -> str:
+            return end(before[-1], True) if before else end(after[0], False)
+
+        def tail() -> str:
+            return end(after[-1], True) if after else end(before[0], False)
 
         while True:
-            while front < len(lines) and not waiting[front]:
+            while front < len(heads) and not waiting[front]:
                 front += 1
             taken, turned, reverse_first = None, False, False
-            if front < len(lines):
-                a, z = lines[front][0][2], lines[front][-1][2]
-                if tail()[2] == a:
+            if front < len(heads):
+                a, z = heads[front], tails[front]
+                if tail() == a:
                     taken = front
-                elif tail()[2] == z:
+                elif tail() == z:
                     taken, turned = front, True
-                elif head()[2] == a:
+                elif head() == a:
                     taken, reverse_first = front, True
-                elif head()[2] == z:
+                elif head() == z:
                     # putting it in front and turning the whole is turning the line, then adding the other turned
                     taken, turned, reverse_first = front, True, True
             if taken is None:
-                taken = heads.first(tail()[2], waiting)
+                taken = at_head.first(tail(), waiting)
             if taken is None:
-                taken = tails.first(tail()[2], waiting)
+                taken = at_tail.first(tail(), waiting)
                 turned = taken is not None
             if taken is None:
                 break
             waiting[taken] = False
             if reverse_first:
                 before, after = after, before
-            more = lines[taken][::-1] if turned else lines[taken]
-            after.extend(more[1:])
-        out.append(before[::-1] + after)
+            after.append((taken, turned))
+        out.append([(line, not turned) for line, turned in reversed(before)] + after)
     return out
 
 
-def flatten(parts: list[dict]) -> tuple[list[list[Point]], list[str]]:
+def flatten(parts: list[dict]) -> tuple[list, list[str]]:
     """The ways and roles of a relation and all below it, from preorder parts {path, ways, roles}.
 
     Ways that don't exist leave the list of ways, but their roles stay, so
@@ -108,20 +111,69 @@ def flatten(parts: list[dict]) -> tuple[list[list[Point]], list[str]]:
     return (done[0][1], done[0][2]) if done else ([], [])
 
 
-def stitched(parts: Column, polygon: Column) -> Column:
-    """struct<outer, inner, line> of stitched strings from JSON parts; ``polygon`` chooses outer and inner over line."""
+class _Coordinates:
+    """The points of all ways of a batch, and where each way's begin."""
+
+    def __init__(self, ways: pa.ListArray) -> None:
+        sizes = ways.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        x, y, key = ways.flatten().flatten()
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        # what is no number is null here and NaN in numpy
+        self.points = np.stack([p.to_numpy(zero_copy_only=False).astype(float) for p in (x, y)], axis=1)
+        whole = np.flatnonzero(sizes > 0)
+        self.heads: dict[int, str] = dict(zip(whole.tolist(), key.take(pa.array(self.starts[whole])).to_pylist(), strict=True))
+        self.tails: dict[int, str] = dict(zip(whole.tolist(), key.take(pa.array(self.starts[whole + 1] - 1)).to_pylist(), strict=True))
+
+    def stitch(self, ways: list[int]) -> list[np.ndarray]:
+        """Places of the points of each joined line."""
+        ways = [w for w in ways if w in self.heads]
+        out = []
+        for run in chains([self.heads[w] for w in ways], [self.tails[w] for w in ways]):
+            pieces = []
+            for k, (line, turned) in enumerate(run):
+                at = np.arange(self.starts[ways[line]], self.starts[ways[line] + 1])
+                at = at[::-1] if turned else at
+                pieces.append(at[1:] if k else at)
+            out.append(np.concatenate(pieces))
+        return out
 
-    @F.pandas_udf("struct<outer:array<array<array<double>>>,inner:array<array<array<double>>>,line:array<array<array<double>>>>")
-    def run(texts: pd.Series, areas: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, area in zip(texts, areas, strict=True):
-            ways, roles = flatten([{"path": p.get("path", []), "ways": [[[q.get("x"), q.get("y"), q["key"]] for q in w] for w in p.get("ways", [])], "roles": p.get("roles", [])} for p in json.loads(text)])
+    def lines(self, rows: list[list[np.ndarray]]) -> pa.Array:
+        """Per row its lines as lists of [x, y]."""
+        every = [line for row in rows for line in row]
+        at = np.concatenate(every) if every else np.empty(0, np.int64)
+        values = self.points[at].ravel()
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(at) + 1, 2), pa.int32()), pa.array(values, mask=np.isnan(values)))
+        each = pa.ListArray.from_arrays(_offsets([len(x) for x in every]), pairs)
+        return pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), each)
 
-            def made(role: str | None, ways=ways, roles=roles) -> list:
-                chosen = ways if role is None else [w for w, r in zip(ways, roles, strict=False) if r == role]
-                return [[[x, y] for x, y, _ in line] for line in stitch(chosen)]
 
-            rows.append((made("outer"), made("inner"), []) if area else ([], [], made(None)))
-        return pd.DataFrame(rows, columns=["outer", "inner", "line"])
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+LINES = "array<array<array<double>>>"
+
+
+def stitched(parts: Column, polygon: Column) -> Column:
+    """struct<outer, inner, line> of stitched strings from parts; ``polygon`` chooses outer and inner over line.
+
+    Points stay in Arrow arrays: Python handles one object a way, not one a point.
+    """
 
-    return run(F.to_json(parts), polygon)
+    @F.arrow_udf(f"struct<outer:{LINES},inner:{LINES},line:{LINES}>")
+    def run(rows: pa.Array, areas: pa.Array) -> pa.Array:
+        path, ways, roles = rows.flatten().flatten()
+        points = _Coordinates(ways.flatten())
+        first_way = np.concatenate([[0], np.cumsum(ways.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]).tolist()
+        path, roles = path.to_pylist(), roles.to_pylist()
+        found: dict[str, list[list[np.ndarray]]] = {"outer": [], "inner": [], "line": []}
+        at = 0
+        for size, area in zip(rows.value_lengths().to_pylist(), areas.to_pylist(), strict=True):
+            every, named = flatten([{"path": path[k], "ways": range(first_way[k], first_way[k + 1]), "roles": roles[k]} for k in range(at, at + size)])
+            at += size
+            for role in ("outer", "inner"):
+                found[role].append(points.stitch([w for w, r in zip(every, named, strict=False) if r == role]) if area else [])
+            found["line"].append([] if area else points.stitch(every))
+        return pa.StructArray.from_arrays([points.lines(found[k]) for k in found], list(found))
+
+    return run(parts, polygon)

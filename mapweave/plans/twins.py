@@ -1,7 +1,7 @@
-"""Relational twins of the engine's operators on the star-schema tables.
+"""The engine's operators on the star-schema tables.
 
-Each query uses the operator's own Column functions or DataFrame operators
-where they fit the tables, and has the same result in SQL beside it.
+Rows become elements or whole documents and go through the engine's own
+functions; each query has the same result in SQL beside it.
 """
 
 from __future__ import annotations
@@ -10,14 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mapweave.functions import geometry as G
 from mapweave.functions.rules import is_area
 from mapweave.functions.text import merged, without_keys
+from mapweave.api import to_collections
 from mapweave.operators import registry as R
 from mapweave.operators.features import to_features
+from mapweave.operators.relations import expand, own_parts
 from mapweave.operators.stitch import stitched
 from mapweave.options import Options
+from mapweave.schema import ELEMENT
 from mapweave.sources.detect import detect_format
 from mapweave.sources.documents import to_elements
 
@@ -54,27 +58,6 @@ def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("kind", detect_format(F.coalesce("t", F.lit(""))).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([^ >/]+)', 1)) AS tag FROM pages) GROUP BY tag")
-def xml_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "pages", "html").select(F.explode(F.regexp_extract_all("html", F.lit("<([^ >/]+)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""
-    SELECT name, value, count(*) AS n FROM (
-        SELECT unnest(regexp_extract_all(html, '([^ ]+?)="(.+?)"', 1)) AS name, unnest(regexp_extract_all(html, '([^ ]+?)="(.+?)"', 2)) AS value FROM pages
-    ) GROUP BY name, value""")
-def xml_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [F.regexp_extract_all("html", F.lit('([^ ]+?)="(.+?)"'), F.lit(i)) for i in (1, 2)]
-    pairs = table(spark, sf_dir, "pages", "html").select(F.explode(F.arrays_zip(found[0].alias("name"), found[1].alias("value"))).alias("a")).select("a.*").toDF("name", "value")
-    return pairs.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("""
     SELECT event_id, k, v FROM (
         SELECT event_id, 'user' AS k, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_id, 'type', event_type FROM events UNION ALL SELECT event_id, 'k', json_extract_string(props, '$.k') FROM events
@@ -97,45 +80,6 @@ def merge_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", own.alias("own"), over.alias("over")).select("event_id", F.explode(merged(F.col("own"), F.col("over"))).alias("k", "v"))
 
 
-@query("SELECT 'event/' || event_id AS id, 'Point' AS kind, value AS x, CAST(user_id AS DOUBLE) AS y FROM events")
-def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
-    return rows.select(F.concat_ws("/", F.lit("event"), F.col("event_id").cast("string")).alias("id"), F.lit("Point").alias("kind"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
-
-
-@query("SELECT user_id, min(event_id) AS first_pos, max(event_id) AS last_pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
-def registry_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    won = rows.groupBy("user_id").agg(F.min("event_id").alias("first_pos"), F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("x"))
-    return won.select("user_id", "first_pos", F.col("x.event_id").alias("last_pos"), "x.event_type", "x.value")
-
-
-@query("""
-    SELECT l_orderkey AS order_key, count(*) AS n_points,
-           string_agg(p_size || ' ' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY l_orderkey""")
-def late_bind_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a line through the positions of its parts, in line order; parts that are absent drop out."""
-    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= 25).select("p_partkey", "p_size")
-    point = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_size")
-    lines = items.join(parts, items.l_partkey == parts.p_partkey).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(point)).alias("points"))
-    text = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["p_size"].cast("string"), p["l_partkey"].cast("string"))), ",")
-    return lines.select(F.col("l_orderkey").alias("order_key"), long(F.size("points")).alias("n_points"), text.alias("line"))
-
-
-@query("SELECT p_partkey AS part_key, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY p_partkey")
-def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "part", "p_partkey").join(refs, "p_partkey", "left").select(F.col("p_partkey").alias("part_key"), F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("SELECT p_partkey AS part_key FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
-def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part", "p_partkey").join(refs, "p_partkey", "left_anti").select(F.col("p_partkey").alias("part_key"))
-
-
 _SKIP = """
     WITH e AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'way' WHEN p_size % 3 = 1 THEN 'node' ELSE 'relation' END AS type, p_partkey % 2 = 0 AS tagged,
                       EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45) AS referenced FROM part)
@@ -254,94 +198,322 @@ def assign_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("vec_id", F.array_position("hits", F.lit(True)).cast("int").alias("area"))
 
 
+@query("SELECT p_partkey AS part_key, TRY_CAST(regexp_extract(p_size || '.' || p_partkey || 'e' || p_brand, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE) AS number FROM part")
+def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand")
+    text = F.concat(F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.lit("e"), "p_brand")
+    return rows.select(F.col("p_partkey").alias("part_key"), G.parse_float(text).alias("number"))
+
+
+@query("""
+    SELECT 'order/' || l_orderkey AS doc_id, 'way/1' AS id,
+           '{"type":"LineString","coordinates":[' || string_agg('[' || l_partkey % 90 || '.0,' || l_suppkey % 90 || '.0]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']}' AS geometry
+    FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
+def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a JSON document of nodes and one way through them, converted by the whole engine."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    row = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    node = F.struct(F.lit("node").alias("type"), F.col("n").alias("id"), (F.col("l_partkey") % 90).alias("lon"), (F.col("l_suppkey") % 90).alias("lat"))
+    grouped = items.withColumn("n", F.row_number().over(row)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", node.alias("node")))).alias("all"))
+    way = F.to_json(F.struct(F.lit("way").alias("type"), F.lit(1).alias("id"), F.transform("all", lambda x: x["n"]).alias("nodes")))
+    payload = F.concat(F.lit('{"elements":['), way, F.lit(","), F.array_join(F.transform("all", lambda x: F.to_json(x["node"])), ","), F.lit("]}"))
+    documents = grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), payload.alias("payload"))
+    return to_features(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
+
+
+# Rows as elements
+
+
+def element_rows(rows: DataFrame, **columns: str) -> DataFrame:
+    """Elements of one document from SQL expressions over rows; what isn't named is null."""
+    fields = T.StructType.fromDDL(ELEMENT).fields
+    given = {"tagged": "false", "props": "map()", **columns}
+    return rows.select(F.lit("d").alias("doc_id"), *(F.expr(given.get(f.name, "null")).cast(f.dataType).alias(f.name) for f in fields))
+
+
+POINT_AT = "named_struct('x', cast({x} AS double), 'y', cast({y} AS double), 'key', concat_ws(',', {x}, {y}))"
+
+
+def late(ref: str) -> str:
+    return f"named_struct('ref', cast({ref} AS string), 'at', null)"
+
+
+def member(kind: str, ref: str, role: str) -> str:
+    return f"named_struct('type', '{kind}', 'ref', cast({ref} AS string), 'role', {role}, 'inline', false, 'tagged', false, 'props', map(), 'at', null, 'vertices', null)"
+
+
+@query("SELECT user_id, min(event_id) AS first_pos, max(event_id) AS last_pos, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def registry_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    nodes = element_rows(rows, pos="event_id", type="'node'", id="user_id", props="map('type', event_type)", at=POINT_AT.format(x="value", y="0"))
+    won = R.registry(R.instances(nodes))
+    return won.select(long(F.col("id")).alias("user_id"), F.col("ord.pos").alias("first_pos"), F.col("reg.pos").alias("last_pos"), F.col("props")["type"].alias("event_type"), F.col("at.x").alias("value"))
+
+
+@query("""
+    SELECT l_orderkey AS order_key, count(*) AS n_points,
+           string_agg(p_size || ' ' || l_partkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY l_orderkey""")
+def late_bind_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a way through the nodes of its parts, in line order; parts that are absent drop out."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))).alias("p"))
+    ways = element_rows(lines, pos="l_orderkey", type="'way'", id="l_orderkey", vertices=f"transform(p, x -> {late('x.l_partkey')})")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") <= 25).select("p_partkey", "p_size")
+    nodes = element_rows(parts, pos="-p_partkey", type="'node'", id="p_partkey", at=POINT_AT.format(x="p_size", y="p_partkey"))
+    every = R.instances(ways.unionByName(nodes))
+    bound = R.bind_ways(every, R.registry(every))
+    text = F.expr("array_join(transform(points, p -> concat_ws(' ', cast(p.x AS long), cast(p.y AS long))), ',')")
+    return bound.select(F.col("reg.pos").alias("order_key"), long(F.size("points")).alias("n_points"), text.alias("line"))
+
+
+def _referenced_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes and large line items as ways that refer to them, with ``n`` and ``referenced``."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").select("l_partkey")
+    ways = element_rows(items, pos="monotonically_increasing_id()", type="'way'", id="'w'", vertices=f"array({late('l_partkey')})")
+    nodes = element_rows(table(spark, sf_dir, "part", "p_partkey"), pos="-p_partkey", type="'node'", id="p_partkey")
+    refs = R.references(R.instances(ways))
+    won = R.registry(R.instances(nodes))
+    return R.with_references(won, refs).join(refs, R.KEY, "left")
+
+
+@query("SELECT p_partkey AS part_key, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY p_partkey")
+def ref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _referenced_parts(spark, sf_dir).select(long(F.col("id")).alias("part_key"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT p_partkey AS part_key FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
+def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _referenced_parts(spark, sf_dir).where(R.is_kept(Options())).select(long(F.col("id")).alias("part_key"))
+
+
 @query("""
     WITH RECURSIVE edges AS (
         SELECT 'r' || n_regionkey AS above, 'n' || n_nationkey AS below FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
-    tree AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 'r' || r_regionkey AS path, 0 AS depth FROM region
-             UNION ALL SELECT root, below, path || '/' || below, depth + 1 FROM tree JOIN edges ON above = id)
-    SELECT root, id, path, CAST(depth AS BIGINT) AS depth FROM tree""")
+    tree AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth FROM region
+             UNION ALL SELECT root, below, depth + 1 FROM tree JOIN edges ON above = id)
+    SELECT root, id, CAST(depth AS BIGINT) AS depth FROM tree""")
 def relation_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def edges(name: str, above: str, up: str, below: str, down: str) -> DataFrame:
-        return table(spark, sf_dir, name, up, down).select(F.concat(F.lit(above), F.col(up).cast("string")).alias("above"), F.concat(F.lit(below), F.col(down).cast("string")).alias("below"))
-
-    every = edges("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(edges("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(edges("supplier", "n", "s_nationkey", "s", "s_suppkey"))
-    root = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
-    front = table(spark, sf_dir, "region", "r_regionkey").select(root.alias("root"), root.alias("id"), root.alias("path"), F.lit(0).cast("long").alias("depth"))
-    out = front
-    for _ in range(2):
-        front = front.join(every, front.id == every.above).select("root", F.col("below").alias("id"), F.concat_ws("/", "path", "below").alias("path"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(front)
-    return out
+    """Regions, nations, customers and suppliers as relations; the regions with all that lie below them."""
+    relations = None
+    for name, own, up, letter, above in (("region", "r_regionkey", None, "r", None), ("nation", "n_nationkey", "n_regionkey", "n", "r"), ("customer", "c_custkey", "c_nationkey", "c", "n"), ("supplier", "s_suppkey", "s_nationkey", "s", "n")):
+        one = F.concat(F.lit(letter), F.col(own).cast("string")).alias("id")
+        rows = table(spark, sf_dir, name, own, *([up] if up else [])).select(one, (F.concat(F.lit(above), F.col(up).cast("string")) if up else F.lit(None).cast("string")).alias("above"))
+        relations = rows if relations is None else relations.unionByName(rows)
+    under = relations.where("above is not null").groupBy(F.col("above").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("below"))
+    rows = relations.select("id").join(under, "id", "left")
+    won = R.registry(R.instances(element_rows(rows, pos="xxhash64(id)", type="'relation'", id="id", members=f"transform(coalesce(below, array()), x -> {member('relation', 'x', repr(''))})")))
+    found = expand(won.where("id like 'r%'"), won)
+    return found.select("root", "id", long(F.size("path")).alias("depth"))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as relations of their orders, which are ways if they are large; ways and roles of each."""
+    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    grouped = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("all"))
+    role = "CASE x.o_orderstatus WHEN 'F' THEN 'outer' ELSE x.o_orderstatus END"
+    relations = element_rows(grouped, pos="o_custkey", type="'relation'", id="o_custkey", members=f"transform(all, x -> {member('way', 'x.o_orderkey', role)})")
+    here = f"array(named_struct('ref', null, 'at', {POINT_AT.format(x='o_orderkey', y='0')}))"
+    ways = element_rows(orders.where("o_totalprice >= 100000"), pos="-o_orderkey", type="'way'", id="o_orderkey", vertices=here)
+    every = R.instances(relations.unionByName(ways))
+    won = R.registry(every)
+    return own_parts(won, R.bind_ways(every, won)).select(long(F.col("id")).alias("cust_key"), "ways", "roles")
 
 
 @query("SELECT o_custkey AS cust_key, bool_or(o_orderstatus = 'F') AS area, count(*) AS n_roles FROM orders GROUP BY o_custkey")
 def role_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").groupBy(F.col("o_custkey").alias("cust_key")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("area"), F.count(F.lit(1)).alias("n_roles"))
+    return _members(spark, sf_dir).select("cust_key", F.array_contains("roles", "outer").alias("area"), long(F.size("roles")).alias("n_roles"))
 
 
 @query("""
-    WITH r AS (SELECT o_custkey, o_orderstatus AS role, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    WITH r AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'outer' ELSE o_orderstatus END AS role, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
     w AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_totalprice >= 100000)
     SELECT w.o_custkey AS cust_key, o_orderkey AS order_key, role FROM w JOIN r ON w.o_custkey = r.o_custkey AND w.n = r.n""")
 def role_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members that don't exist leave the ways but not the roles."""
-    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
-    grouped = orders.groupBy(F.col("o_custkey").alias("cust_key")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", (F.col("o_totalprice") >= 100000).alias("exists")))).alias("all"))
-    ways = F.transform(F.filter("all", lambda x: x["exists"]), lambda x, i: F.struct(x["o_orderkey"].alias("order_key"), F.get(F.col("all"), i)["o_orderstatus"].alias("role")))
-    return grouped.select("cust_key", F.explode(ways).alias("w")).select("cust_key", "w.order_key", "w.role")
+    paired = F.expr("inline(transform(ways, (w, i) -> named_struct('order_key', cast(w[0].x AS long), 'role', roles[i])))")
+    return _members(spark, sf_dir).select("cust_key", paired)
 
 
-@query()
+@query("""
+    SELECT l_orderkey AS order_key, count(*) AS n_segments, string_agg(least(l_partkey % 7, l_suppkey % 7) || '-' || greatest(l_partkey % 7, l_suppkey % 7), ',' ORDER BY least(l_partkey % 7, l_suppkey % 7), greatest(l_partkey % 7, l_suppkey % 7)) AS segments
+    FROM lineitem GROUP BY l_orderkey""")
 def stitch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's items as two-point lines, stitched in line order."""
+    """Each order's items as two-point lines, stitched in line order: no segment is lost, made up or doubled (the order is tested against a plain loop)."""
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     grouped = items.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("p"))
+    ways = f"transform(p, x -> array({POINT_AT.format(x='x.l_partkey % 7', y='0')}, {POINT_AT.format(x='x.l_suppkey % 7', y='0')}))"
+    part = F.expr(f"array(named_struct('path', cast(array() AS array<int>), 'ways', {ways}, 'roles', cast(array() AS array<string>)))")
+    made = grouped.select("order_key", stitched(part, F.lit(False)).alias("s")).select("order_key", "s.line")
+    steps = "flatten(transform(line, l -> transform(sequence(1, size(l) - 1), i -> struct(cast(least(l[i][0], l[i - 1][0]) AS long) AS a, cast(greatest(l[i][0], l[i - 1][0]) AS long) AS b))))"
+    made = made.select("order_key", F.expr(f"sort_array({steps})").alias("steps"))
+    return made.select("order_key", long(F.size("steps")).alias("n_segments"), F.expr("array_join(transform(steps, x -> concat_ws('-', x.a, x.b)), ',')").alias("segments"))
+
+
+# Rows as documents
+
+_POINTS = "WITH p AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey % 90 AS x, l_suppkey % 90 AS y FROM lineitem) "
+_LINE = "string_agg('[' || x || '.0,' || y || '.0]', ',' ORDER BY n)"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order of two items or more its doc_id and the array ``p`` of points (n, x, y)."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    grouped = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("i")).where(F.size("i") > 1)
+    return grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), F.expr("transform(i, (v, n) -> struct(n + 1 AS n, v.l_partkey % 90 AS x, v.l_suppkey % 90 AS y))").alias("p"))
+
+
+def _documents(rows: DataFrame, *elements: str) -> DataFrame:
+    """JSON documents from SQL for arrays of JSON texts."""
+    return rows.select("doc_id", F.expr("concat('{\"elements\":[', array_join(concat(" + ", ".join(elements) + "), ','), ']}')").alias("payload"))
+
+
+_NODES = "transform(p, v -> to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y)))"
+_WAYS = "transform(slice(p, 1, size(p) - 1), v -> to_json(named_struct('type', 'way', 'id', v.n, 'nodes', array(v.n, v.n + 1))))"
+_OF_WAYS = "array(to_json(named_struct('type', 'relation', 'id', 1, 'members', transform(slice(p, 1, size(p) - 1), v -> named_struct('type', 'way', 'ref', v.n, 'role', '')))))"
+
+
+@query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'relation/1' AS id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geometry FROM p GROUP BY k HAVING count(*) > 1""")
+def convert_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways from point to point, bound by nodes that come later and by a relation that comes first."""
+    docs = _documents(_orders(spark, sf_dir), _OF_WAYS, _WAYS, _NODES)
+    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+
+
+@query(_POINTS + f"""SELECT 'order/' || k AS doc_id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geojson, CAST(NULL AS VARCHAR) AS error FROM p GROUP BY k HAVING count(*) > 1""")
+def bare_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without options the first relation's geometry alone."""
+    return to_collections(_documents(_orders(spark, sf_dir), _NODES, _WAYS, _OF_WAYS))
+
+
+@query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'relation/2' AS id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geometry FROM p GROUP BY k HAVING count(*) > 1""")
+def super_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    above = """array('{"type":"relation","id":2,"members":[{"type":"relation","ref":1,"role":""}]}')"""
+    docs = _documents(_orders(spark, sf_dir), above, _OF_WAYS, _WAYS, _NODES)
+    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+
+
+@query(_POINTS + f""", g AS (SELECT k, '[' || {_LINE} || ']' AS line, min(n) AS least FROM p GROUP BY k HAVING count(*) > 1)
+    SELECT 'order/' || k AS doc_id, 'relation/1' AS id, '{{"type":"MultiLineString","coordinates":[' || line || ']}}' AS geometry, '{{"id":"relation/1"}}' AS properties FROM g
+    UNION ALL SELECT 'order/' || k, 'node/9', '{{"type":"Point","coordinates":[' || x + 1 || '.0,' || y + 1 || '.0]}}', '{{"id":"node/9","ref":9,"role":"label"}}' FROM p JOIN g USING (k) WHERE n = 1""")
+def inline_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation whose members bring their own geometry."""
+    way = "transform(slice(p, 1, size(p) - 1), v -> to_json(named_struct('type', 'way', 'ref', v.n, 'role', '', 'geometry', array(named_struct('lon', v.x, 'lat', v.y), named_struct('lon', p[v.n].x, 'lat', p[v.n].y)))))"
+    node = "array(to_json(named_struct('type', 'node', 'ref', 9, 'role', 'label', 'lon', p[0].x + 1, 'lat', p[0].y + 1)))"
+    relation = f"""array(concat('{{"type":"relation","id":1,"members":[', array_join(concat({way}, {node}), ','), ']}}'))"""
+    return to_features(to_elements(_documents(_orders(spark, sf_dir), relation)), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
+
+
+@query(_POINTS + f""", k AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
+    SELECT 'order/' || k AS doc_id, 'way/1' AS id, '{{"type":"LineString","coordinates":[' || {_LINE} || ']}}' AS geometry, '{{"id":"way/1","highway":"path"}}' AS properties FROM p JOIN k USING (k) GROUP BY k
+    UNION ALL SELECT 'order/' || k, 'node/' || n, '{{"type":"Point","coordinates":[' || x || '.0,' || y || '.0]}}', '{{"id":"node/' || n || '","name":"n' || n || '"}}' FROM p JOIN k USING (k) WHERE n % 2 = 0""")
+def tagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Referenced nodes show if they are tagged; so do referenced ways where they aren't left out."""
+    nodes = "transform(p, v -> CASE WHEN v.n % 2 = 0 THEN to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y, 'tags', map('name', concat('n', v.n)))) ELSE to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y)) END)"
+    way = "array(to_json(named_struct('type', 'way', 'id', 1, 'nodes', transform(p, v -> v.n), 'tags', map('highway', 'path'))), '{\"type\":\"relation\",\"id\":1,\"members\":[{\"type\":\"way\",\"ref\":1,\"role\":\"outer\"}]}')"
+    docs = _documents(_orders(spark, sf_dir), nodes, way)
+    made = to_features(to_elements(docs), {"completeFeature": True, "renderTagged": True, "excludeWay": False})
+    return made.where("not of_relation").select("doc_id", "id", "geometry", "properties")
+
 
-    def point(v: Column) -> Column:
-        return F.struct((v % 7).cast("double").alias("x"), F.lit(0.0).alias("y"), (v % 7).cast("string").alias("key"))
+_XML_POINTS = "transform(p, v -> concat('<node id=\"', v.n, '\" lat=\"', v.y, '\" lon=\"', v.x, '\"/>'))"
 
-    ways = F.transform("p", lambda p: F.array(point(p["l_partkey"]), point(p["l_suppkey"])))
-    part = F.struct(F.array().cast("array<int>").alias("path"), ways.alias("ways"), F.array().cast("array<string>").alias("roles"))
-    made = grouped.select("order_key", stitched(F.array(part), F.lit(False)).alias("s"))
-    return made.select("order_key", long(F.size("s.line")).alias("n_lines"), F.to_json("s.line").alias("lines"))
 
+@query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'way/1' AS id, '{{"type":"LineString","coordinates":[' || {_LINE} || ']}}' AS geometry, '{{"id":"way/1","version":"' || count(*) || '","name":"A &#38; B"}}' AS properties
+    FROM p GROUP BY k HAVING count(*) > 1""")
+def convert_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and a tagged way as XML; its entities stay as they are."""
+    refs = "array_join(transform(p, v -> concat('<nd ref=\"', v.n, '\"/>')), '')"
+    text = f"""concat('<?xml version="1.0"?><osm>', array_join({_XML_POINTS}, ''), '<way id="1" version="', size(p), '">', {refs}, '<tag k="name" v="A &#38; B"/></way></osm>')"""
+    docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
+    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
 
-@query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE value > 50), 'none') AS first_type, count(*) AS n FROM events GROUP BY user_id")
+
+@query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'relation/7' AS id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geometry,
+    '{{"id":"relation/7","route":"bus"}}' AS properties, '[1.5,2.0,' || count(*) || '.0,4.0]' AS bbox FROM p GROUP BY k HAVING count(*) > 1""")
+def xml_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, tags and members with vertices of their own, as XML."""
+    vertex = "concat('<nd lon=\"', {0}.x, '\" lat=\"', {0}.y, '\"/>')"
+    ways = f"""transform(slice(p, 1, size(p) - 1), v -> concat('<member type="way" ref="', v.n, '" role="">', {vertex.format("v")}, {vertex.format("p[v.n]")}, '</member>'))"""
+    text = f"""concat('<osm><relation id="7"><bounds minlat="2" minlon="1.5" maxlat="4" maxlon="', size(p), '"/>', array_join({ways}, ''), '<tag k="route" v="bus"/></relation></osm>')"""
+    docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
+    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties", F.to_json("bbox").alias("bbox"))
+
+
+@query("SELECT 'e' AS doc_id, event_id AS pos, CAST(user_id AS VARCHAR) AS id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type AS name, event_id % 2 = 0 AS tagged FROM events WHERE value <> 0")
+def xml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the nodes of XML documents, read back as elements."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props").where("value <> 0")
+    tag = "CASE WHEN event_id % 2 = 0 THEN '><tag k=\"a\" v=\"b\"/></node>' ELSE '/>' END"
+    text = F.expr(f"""concat('<osm><node id="', user_id, '" name="', event_type, '" lat="', get_json_object(props, '$.k'), '" lon="', value, '"', {tag}, '</osm>')""")
+    docs = rows.select(F.col("event_id").cast("string").alias("doc_id"), text.alias("payload"))
+    made = to_elements(docs)
+    return made.select(F.lit("e").alias("doc_id"), long(F.col("doc_id")).alias("pos"), "id", "at.x", "at.y", F.get_json_object(F.col("props")["name"], "$").alias("name"), "tagged")
+
+
+@query("SELECT event_id AS pos, CAST(user_id AS VARCHAR) AS id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type AS kind FROM events")
+def json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the nodes of JSON documents, read back as elements."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", "props")
+    node = "array(to_json(named_struct('type', 'node', 'id', user_id, 'lon', value, 'lat', get_json_object(props, '$.k'), 'kind', event_type)))"
+    made = to_elements(_documents(rows.withColumn("doc_id", F.col("event_id").cast("string")), node))
+    return made.select(long(F.col("doc_id")).alias("pos"), "id", "at.x", "at.y", F.from_json(F.concat(F.lit('{"v":'), F.col("props")["kind"], F.lit("}")), "v string")["v"].alias("kind"))
+
+
+@query("SELECT 'node/' || event_id AS id, 'Point' AS kind, value AS x, CAST(user_id AS DOUBLE) AS y FROM events")
+def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    nodes = element_rows(rows, pos="event_id", type="'node'", id="event_id", at=POINT_AT.format(x="value", y="user_id"))
+    shape = F.from_json("geometry", "type string, coordinates array<double>")
+    made = to_features(nodes, {"completeFeature": True, "byDocument": False}).select("id", shape.alias("g"))
+    return made.select("id", F.col("g.type").alias("kind"), F.col("g.coordinates")[0].alias("x"), F.col("g.coordinates")[1].alias("y"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, arg_min(event_id, event_id) FILTER (WHERE value > 50) AS first FROM events GROUP BY user_id)
+    SELECT CAST(user_id AS VARCHAR) AS doc_id, CASE WHEN first IS NULL THEN '{"type":"FeatureCollection","features":[]}' ELSE '{"type":"MultiLineString","coordinates":[[[' || first % 100 || '.0,0.0],[' || first % 100 || '.0,1.0]]]}' END AS geojson FROM e""")
 def first_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    first = F.min(F.when(F.col("value") > 50, F.struct("event_id", "event_type")))
-    return rows.groupBy("user_id").agg(F.coalesce(first["event_type"], F.lit("none")).alias("first_type"), F.count(F.lit(1)).alias("n"))
+    """Each user's events as relations, some of them without a line."""
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
+    line = "CASE WHEN value > 50 THEN array(named_struct('type', 'way', 'ref', 1, 'role', '', 'geometry', array(named_struct('lon', event_id % 100, 'lat', 0), named_struct('lon', event_id % 100, 'lat', 1)))) ELSE array() END"
+    each = rows.select("user_id", "event_id", F.expr(f"to_json(named_struct('type', 'relation', 'id', event_id, 'members', {line}))").alias("json"))
+    grouped = each.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", "json"))).alias("all"))
+    return to_collections(_documents(grouped, "transform(all, x -> x.json)")).select("doc_id", "geojson")
 
 
 @query("""
-    SELECT c_custkey AS cust_key, '{"type":"FeatureCollection","features":[' || coalesce(string_agg('{"type":"Feature","id":"order/' || o_orderkey || '"}', ',' ORDER BY o_orderkey), '') || ']}' AS geojson
+    SELECT CAST(c_custkey AS VARCHAR) AS doc_id, '{"type":"FeatureCollection","features":[' || coalesce(string_agg('{"type":"Feature","id":"node/' || o_orderkey || '","properties":{"id":"node/' || o_orderkey || '"},"geometry":{"type":"Point","coordinates":['
+               || o_orderkey % 90 || '.0,' || o_custkey % 90 || '.0]}}', ',' ORDER BY o_orderkey), '') || ']}' AS geojson
     FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey GROUP BY c_custkey""")
 def feature_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")
-    feature = F.concat(F.lit('{"type":"Feature","id":"order/'), F.col("o_orderkey").cast("string"), F.lit('"}'))
-    grouped = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", feature.alias("json")))).alias("f"))
-    body = F.coalesce(F.array_join(F.transform("f", lambda f: f["json"]), ","), F.lit(""))
-    return table(spark, sf_dir, "customer", "c_custkey").join(grouped, "c_custkey", "left").select(F.col("c_custkey").alias("cust_key"), F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("geojson"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    node = F.expr("to_json(named_struct('type', 'node', 'id', o_orderkey, 'lon', o_orderkey % 90, 'lat', o_custkey % 90))")
+    grouped = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", node.alias("json")))).alias("all"))
+    rows = table(spark, sf_dir, "customer", "c_custkey").join(grouped, "c_custkey", "left").select(F.col("c_custkey").cast("string").alias("doc_id"), F.expr("coalesce(transform(all, x -> x.json), array())").alias("all"))
+    return to_collections(_documents(rows, "all"), {"completeFeature": True}).select("doc_id", "geojson")
 
 
-@query("SELECT p_partkey AS part_key, TRY_CAST(regexp_extract(p_size || '.' || p_partkey || 'e' || p_brand, '^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)', 1) AS DOUBLE) AS number FROM part")
-def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand")
-    text = F.concat(F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.lit("e"), "p_brand")
-    return rows.select(F.col("p_partkey").alias("part_key"), G.parse_float(text).alias("number"))
+def _ring(*corners: tuple[str, str]) -> str:
+    return "'[' || " + " || ',' || ".join(f"'[' || ({x}) || '.0,' || ({y}) || '.0]'" for x, y in corners) + " || ']'"
 
 
-@query("""
-    SELECT 'order/' || l_orderkey AS doc_id, 'way/1' AS id,
-           '{"type":"LineString","coordinates":[' || string_agg('[' || l_partkey % 90 || '.0,' || l_suppkey % 90 || '.0]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']}' AS geometry
-    FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1""")
-def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a JSON document of nodes and one way through them, converted by the whole engine."""
-    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    row = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    node = F.struct(F.lit("node").alias("type"), F.col("n").alias("id"), (F.col("l_partkey") % 90).alias("lon"), (F.col("l_suppkey") % 90).alias("lat"))
-    grouped = items.withColumn("n", F.row_number().over(row)).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", node.alias("node")))).alias("all"))
-    way = F.to_json(F.struct(F.lit("way").alias("type"), F.lit(1).alias("id"), F.transform("all", lambda x: x["n"]).alias("nodes")))
-    payload = F.concat(F.lit('{"elements":['), way, F.lit(","), F.array_join(F.transform("all", lambda x: F.to_json(x["node"])), ","), F.lit("]}"))
-    documents = grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), payload.alias("payload"))
-    return to_features(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
+_OUTER = [("x", "0"), ("x + s", "0"), ("x + s", "s"), ("x", "s"), ("x", "0")]
+_INNER = [("x + 1", "1"), ("x + 1", "2"), ("x + 2", "2"), ("x + 2", "1"), ("x + 1", "1")]
+
+
+@query(f"""
+    WITH a AS (SELECT p_partkey AS k, p_partkey % 50 AS x, p_size + 4 AS s FROM part),
+    r AS (SELECT k, {_ring(*_OUTER)} AS outer_, {_ring(*_INNER)} AS inner_, {_ring(*((x + " + 200", y) for x, y in _OUTER))} AS other FROM a)
+    SELECT 'part/' || k AS doc_id, 'relation/1' AS id, CASE WHEN k % 2 = 0 THEN '{{"type":"MultiPolygon","coordinates":[[' || outer_ || CASE WHEN k % 3 = 0 THEN '' ELSE ',' || inner_ END || '],[' || other || ']]}}'
+           ELSE '{{"type":"Polygon","coordinates":[' || outer_ || CASE WHEN k % 3 = 0 THEN '' ELSE ',' || inner_ END || ']}}' END AS geometry FROM r""")
+def polygons_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings the wrong way round; holes that lie in one of two areas, or in none."""
+
+    def way(role: str, corners: list[tuple[str, str]], shift: str) -> str:
+        places = ", ".join(f"named_struct('lon', {x} + {shift}, 'lat', {y})" for x, y in corners[::-1])
+        return f"named_struct('type', 'way', 'ref', 1, 'role', '{role}', 'geometry', array({places}))"
+
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("doc_id"), F.col("p_partkey").alias("k"), (F.col("p_partkey") % 50).alias("x"), (F.col("p_size") + 4).alias("s"))
+    members = f"concat(array({way('outer', _OUTER, '0')}), CASE WHEN k % 2 = 0 THEN array({way('outer', _OUTER, '200')}) ELSE array() END, array({way('inner', _INNER, 'CASE WHEN k % 3 = 0 THEN 500 ELSE 0 END')}))"
+    docs = _documents(rows, f"array(to_json(named_struct('type', 'relation', 'id', 1, 'members', {members})))")
+    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")

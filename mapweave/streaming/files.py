@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mapweave.api import to_collections
+from mapweave.api import release, to_collections
 from mapweave.options import Options
 
 
@@ -23,6 +23,8 @@ def convert_arriving(spark: SparkSession, folder: str, out: str, checkpoint: str
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        to_collections(batch, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        made = to_collections(batch, options)
+        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        release(made)
 
     return read_arriving(spark, folder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import geometry as G
 from mapweave.functions.rules import is_area
-from mapweave.operators.stitch import flatten, stitch
+from mapweave.operators.relations import below, cyclic
+from mapweave.operators.stitch import chains, flatten
 from mapweave.sources.detect import detect_format
 
 
@@ -22,6 +23,18 @@ def keys(lines):
     return ["".join(p[2] for p in x) for x in lines]
 
 
+def stitch(lines):
+    """The chains of lines as points."""
+    lines = [x for x in lines if x]
+    out = []
+    for run in chains([x[0][2] for x in lines], [x[-1][2] for x in lines]):
+        points = []
+        for k, (i, turned) in enumerate(run):
+            points += (lines[i][::-1] if turned else lines[i])[1 if k else 0 :]
+        out.append(points)
+    return out
+
+
 def slow_stitch(lines):
     """The rule, step by step."""
     waiting, out = [list(x) for x in lines if x], []
@@ -81,6 +94,17 @@ def test_flatten_shifts_roles():
     assert flatten(parts) == (["A", "B", "C", "D"], ["x", "y", "b", "c", "d"])
 
 
+def test_relations_below():
+    edges = [{"from": "a", "i": 2, "ref": "c"}, {"from": "a", "i": 0, "ref": "b"}, {"from": "b", "i": 1, "ref": "c"}]
+    assert list(below(["a", "c"], edges)) == [("a", [], "a"), ("a", [0], "b"), ("a", [0, 1], "c"), ("a", [2], "c"), ("c", [], "c")]
+    cyclic(["a", "b", "c"], edges)
+    with pytest.raises(ValueError, match="c > b > c"):
+        cyclic(["a", "b", "c"], [*edges, {"from": "c", "i": 0, "ref": "b"}])
+    deep = [{"from": str(i), "i": 0, "ref": str(i + 1)} for i in range(3000)]
+    cyclic([str(i) for i in range(3001)], deep)
+    assert sum(1 for _ in below(["0"], deep)) == 3001
+
+
 @pytest.mark.parametrize(("text", "want"), [("12abc", 12.0), ("1e", 1.0), (" .5e1x", 5.0), ("", None), ("-3.", -3.0), ("x1", None)])
 def test_parse_float(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(G.parse_float(F.col("t"))).first()[0] == want
