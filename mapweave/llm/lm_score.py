@@ -53,9 +53,9 @@ LISTED, MOST_LISTED = 8, 200_000
 SPAN, WIDTH = 2, 16
 OFFSETS = tuple(o for o in range(-SPAN, SPAN + 1) if o)
 KNOWN = 1 + WORDS + BUCKETS
-BATCH, RATE = 4096, 0.1
+BATCH, RATE = 8192, 0.1
 SHARD_TOKENS = 1_000_000
-BLOCK = 8192
+BLOCK = 16384
 #: The sign before and after a word's bytes.
 EDGE = 256
 CHUNKS, FAN = 32, 64
