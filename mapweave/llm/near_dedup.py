@@ -65,7 +65,7 @@ FILTER_WORDS = 1 << 21
 CACHED_WORDS = 100_000
 #: The sketch of shingle counts travels in so many pieces and is added up by so many tasks' at a time.
 PIECES, FAN = 16, 64
-GROUP, ROWS_PER_BLOCK = 256, 2_000
+GROUP, ROWS_PER_BLOCK = 2_048, 2_000
 TEXTS_AT_ONCE = 64
 
 _random = np.random.default_rng(20240229)
