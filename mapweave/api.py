@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.operators import features as features_
+from mapweave.operators import whole
 from mapweave.operators.features import release
 from mapweave.options import Options
 from mapweave.sources.documents import error, from_objects, read_documents, to_elements, with_format
@@ -19,13 +20,19 @@ __all__ = ["convert", "read_documents", "release", "to_collections", "to_element
 
 def to_features(documents: DataFrame, options: Options | Mapping | None = None) -> DataFrame:
     """(doc_id, payload) -> one row per feature; ``release`` gives back what they hold in memory."""
-    return features_.to_features(to_elements(documents), options)
+    o = Options.of(options)
+    if o.by_document:
+        return whole.features_and_errors(documents, o).where("error is null").select(*features_.FEATURE)
+    return features_.to_features(to_elements(documents), o)
 
 
 def to_collections(documents: DataFrame, options: Options | Mapping | None = None) -> DataFrame:
     """(doc_id, payload) -> doc_id, geojson, error; a document that can't be converted has an error and no features, and stops no other."""
-    features = features_.features_and_errors(to_elements(documents), options)
-    made = features_.to_collections(documents, features, options).withColumnRenamed("error", "found")
+    o = Options.of(options)
+    if o.by_document:
+        return whole.to_collections(documents, o)
+    features = features_.features_and_errors(to_elements(documents), o)
+    made = features_.to_collections(documents, features, o).withColumnRenamed("error", "found")
     wrong = with_format(documents).select("doc_id", error(F.col("format"), F.col("payload")).alias("error"))
     out = made.join(wrong, "doc_id").select("doc_id", "geojson", F.coalesce("error", "found").alias("error"))
     out._mapweave_held = features._mapweave_held

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,19 @@ def is_area(tags: Column) -> Column:
     """The verdict of the last tag that has a rule; without one, false."""
     verdicts = F.filter(F.transform(tags, lambda t: tag_verdict(t["k"], F.coalesce(t["v"], F.lit("")))), lambda x: x.isNotNull())
     return F.coalesce(F.try_element_at(verdicts, F.lit(-1)), F.lit(False))
+
+
+_ALWAYS = frozenset(AREA_KEYS)
+
+
+def area_of(tags: Iterable[tuple[str, str | None]]) -> bool:
+    """``is_area`` of tags in Python."""
+    area = False
+    for k, v in tags:
+        if k in _ALWAYS:
+            area = True
+        elif k in ONLY:
+            area = (v or "") in ONLY[k]
+        elif k in EXCEPT:
+            area = (v or "") not in EXCEPT[k]
+    return area

@@ -12,6 +12,8 @@ from mapweave.schema import DOCUMENT
 from mapweave.sources import json_elements, xml_elements
 from mapweave.sources.detect import detect_format
 
+MALFORMED = "malformed JSON"
+
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole files as (doc_id, payload); doc_id is the file's path."""
@@ -30,7 +32,7 @@ def with_format(documents: DataFrame) -> DataFrame:
 
 def error(format_: Column, payload: Column) -> Column:
     """Why a document can't be read, or null."""
-    return F.when((format_ == "json") & ~json_elements.readable(payload), F.lit("malformed JSON"))
+    return F.when((format_ == "json") & ~json_elements.readable(payload), F.lit(MALFORMED))
 
 
 def to_elements(documents: DataFrame) -> DataFrame:
