@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,73 @@ def below(roots: list[str], edges: list[dict]) -> Iterator[tuple[str, list[int],
             stack += [([*path, i], ref) for i, ref in under.get(here, ())]
 
 
+#: Rows that are held before they are handed on.
+_ROWS = 10_000
+
+
+class _Below:
+    """The relations of a document by their places in ``ids``, and what lies right below each, in order."""
+
+    def __init__(self, ids: pa.Array, edges: pa.StructArray) -> None:
+        self.ids, (above, i, ref) = ids, edges.flatten()
+        above, ref = (pc.index_in(x, value_set=ids) for x in (above, ref))
+        # a relation without an id has no place
+        found = pc.and_(pc.is_valid(above), pc.is_valid(ref))
+        above, i, ref = (x.filter(found).to_numpy() for x in (above, i, ref))
+        order = np.lexsort((i, above))
+        self.ref, self.i = ref[order], i[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(above, minlength=len(ids)))])
+
+    def is_cyclic(self) -> bool:
+        """Whether some relations remain when those that lie below none are taken away, again and again."""
+        left = np.bincount(self.ref, minlength=len(self.ids))
+        here, taken = np.flatnonzero(left == 0), 0
+        while len(here):
+            taken += len(here)
+            sizes = self.starts[here + 1] - self.starts[here]
+            at = np.repeat(self.starts[here] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            under, times = np.unique(self.ref[at], return_counts=True)
+            left[under] -= times
+            here = under[left[under] == 0]
+        return taken < len(self.ids)
+
+    def rows(self, roots: list[int]) -> Iterator[tuple[int, list[int], int]]:
+        """As ``below``, by places."""
+        starts = self.starts
+        for root in roots:
+            stack: list[tuple[list[int], int]] = [([], root)]
+            while stack:
+                path, here = stack.pop()
+                yield root, path, here
+                a, z = starts[here], starts[here + 1]
+                if a < z:
+                    stack += [([*path, i], ref) for i, ref in zip(self.i[a:z][::-1].tolist(), self.ref[a:z][::-1].tolist(), strict=True)]
+
+
+def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of EXPANDED from (doc_id, every, roots, edges), in small batches: ids stay in Arrow, edges are arrays of numbers."""
+    names = ["doc_id", *(c.split(" ")[0] for c in EXPANDED.split(", "))]
+    kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
+
+    def made(batch: pa.RecordBatch, k: int, n: int, columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([k] * n, pa.int64())), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, roots, edges = (batch.column(c).slice(k, 1).flatten() for c in ("every", "roots", "edges"))
+            graph = _Below(ids, edges)
+            if len(edges) and graph.is_cyclic():
+                try:
+                    cyclic(ids.to_pylist(), edges.to_pylist())
+                except ValueError as e:
+                    yield made(batch, k, 1, [[None], [None], [None], [str(e)]])
+                continue
+            rows = graph.rows(pc.index_in(roots, value_set=ids).to_pylist())
+            while some := list(islice(rows, _ROWS)):
+                root, path, id_ = zip(*some, strict=True)
+                yield made(batch, k, len(some), [ids.take(pa.array(root)), path, ids.take(pa.array(id_)), [None] * len(some)])
+
+
 def expand(kept: DataFrame, won: DataFrame) -> DataFrame:
     """(doc_id, root, path, id, error): each kept relation and all relations below it, once for every way to reach them.
 
@@ -59,24 +129,8 @@ def expand(kept: DataFrame, won: DataFrame) -> DataFrame:
     every = won.where("type = 'relation'").groupBy("doc_id").agg(F.collect_list("id").alias("every"))
     grouped = every.join(roots, "doc_id", "left").join(edges.groupBy("doc_id").agg(F.collect_list(F.struct("from", "i", "ref")).alias("edges")), "doc_id", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, rows = [], []
-            for k, (every_, roots_, edges_) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("every", "roots", "edges")), strict=True)):
-                try:
-                    if edges_:
-                        cyclic(every_, edges_)
-                    made = [(*r, None) for r in below(roots_ or [], edges_ or [])]
-                except ValueError as e:
-                    made = [(None, None, None, str(e))]
-                rows += made
-                at += [k] * len(made)
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "root", "path", "id", "error"])
-
     kind = grouped.schema["doc_id"].dataType.simpleString()
-    return grouped.select("doc_id", "every", "roots", "edges").mapInArrow(run, f"doc_id {kind}, {EXPANDED}")
+    return grouped.select("doc_id", "every", "roots", "edges").mapInArrow(expanded, f"doc_id {kind}, {EXPANDED}")
 
 
 def cyclic(ids: list[str], edges: list[dict]) -> None:
