@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from mapweave.functions import geometry as G
 from mapweave.functions.rules import is_area
 from mapweave.functions.text import merged, without_keys
-from mapweave.api import to_collections
+from mapweave.api import to_collections, to_features
 from mapweave.operators import registry as R
-from mapweave.operators.features import to_features
+from mapweave.operators.features import to_features as features_of
 from mapweave.operators.relations import expand, own_parts
 from mapweave.operators.stitch import stitched
 from mapweave.options import Options
@@ -218,7 +218,7 @@ def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.to_json(F.struct(F.lit("way").alias("type"), F.lit(1).alias("id"), F.transform("all", lambda x: x["n"]).alias("nodes")))
     payload = F.concat(F.lit('{"elements":['), way, F.lit(","), F.array_join(F.transform("all", lambda x: F.to_json(x["node"])), ","), F.lit("]}"))
     documents = grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), payload.alias("payload"))
-    return to_features(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return features_of(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
 
 
 # Rows as elements
@@ -377,7 +377,7 @@ _OF_WAYS = "array(to_json(named_struct('type', 'relation', 'id', 1, 'members', t
 def convert_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways from point to point, bound by nodes that come later and by a relation that comes first."""
     docs = _documents(_orders(spark, sf_dir), _OF_WAYS, _WAYS, _NODES)
-    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
 
 
 @query(_POINTS + f"""SELECT 'order/' || k AS doc_id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geojson, CAST(NULL AS VARCHAR) AS error FROM p GROUP BY k HAVING count(*) > 1""")
@@ -390,7 +390,7 @@ def bare_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def super_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = """array('{"type":"relation","id":2,"members":[{"type":"relation","ref":1,"role":""}]}')"""
     docs = _documents(_orders(spark, sf_dir), above, _OF_WAYS, _WAYS, _NODES)
-    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return to_features(docs, {"completeFeature": True}).select("doc_id", "id", "geometry")
 
 
 @query(_POINTS + f""", g AS (SELECT k, '[' || {_LINE} || ']' AS line, min(n) AS least FROM p GROUP BY k HAVING count(*) > 1)
@@ -401,7 +401,7 @@ def inline_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = "transform(slice(p, 1, size(p) - 1), v -> to_json(named_struct('type', 'way', 'ref', v.n, 'role', '', 'geometry', array(named_struct('lon', v.x, 'lat', v.y), named_struct('lon', p[v.n].x, 'lat', p[v.n].y)))))"
     node = "array(to_json(named_struct('type', 'node', 'ref', 9, 'role', 'label', 'lon', p[0].x + 1, 'lat', p[0].y + 1)))"
     relation = f"""array(concat('{{"type":"relation","id":1,"members":[', array_join(concat({way}, {node}), ','), ']}}'))"""
-    return to_features(to_elements(_documents(_orders(spark, sf_dir), relation)), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
+    return features_of(to_elements(_documents(_orders(spark, sf_dir), relation)), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
 
 
 @query(_POINTS + f""", k AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
@@ -412,7 +412,7 @@ def tagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = "transform(p, v -> CASE WHEN v.n % 2 = 0 THEN to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y, 'tags', map('name', concat('n', v.n)))) ELSE to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y)) END)"
     way = "array(to_json(named_struct('type', 'way', 'id', 1, 'nodes', transform(p, v -> v.n), 'tags', map('highway', 'path'))), '{\"type\":\"relation\",\"id\":1,\"members\":[{\"type\":\"way\",\"ref\":1,\"role\":\"outer\"}]}')"
     docs = _documents(_orders(spark, sf_dir), nodes, way)
-    made = to_features(to_elements(docs), {"completeFeature": True, "renderTagged": True, "excludeWay": False})
+    made = features_of(to_elements(docs), {"completeFeature": True, "renderTagged": True, "excludeWay": False})
     return made.where("not of_relation").select("doc_id", "id", "geometry", "properties")
 
 
@@ -426,7 +426,7 @@ def convert_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = "array_join(transform(p, v -> concat('<nd ref=\"', v.n, '\"/>')), '')"
     text = f"""concat('<?xml version="1.0"?><osm>', array_join({_XML_POINTS}, ''), '<way id="1" version="', size(p), '">', {refs}, '<tag k="name" v="A &#38; B"/></way></osm>')"""
     docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
-    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
+    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
 
 
 @query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'relation/7' AS id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geometry,
@@ -437,7 +437,7 @@ def xml_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = f"""transform(slice(p, 1, size(p) - 1), v -> concat('<member type="way" ref="', v.n, '" role="">', {vertex.format("v")}, {vertex.format("p[v.n]")}, '</member>'))"""
     text = f"""concat('<osm><relation id="7"><bounds minlat="2" minlon="1.5" maxlat="4" maxlon="', size(p), '"/>', array_join({ways}, ''), '<tag k="route" v="bus"/></relation></osm>')"""
     docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
-    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties", F.to_json("bbox").alias("bbox"))
+    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties", F.to_json("bbox").alias("bbox"))
 
 
 @query("SELECT 'e' AS doc_id, event_id AS pos, CAST(user_id AS VARCHAR) AS id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type AS name, event_id % 2 = 0 AS tagged FROM events WHERE value <> 0")
@@ -465,7 +465,7 @@ def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
     nodes = element_rows(rows, pos="event_id", type="'node'", id="event_id", at=POINT_AT.format(x="value", y="user_id"))
     shape = F.from_json("geometry", "type string, coordinates array<double>")
-    made = to_features(nodes, {"completeFeature": True, "byDocument": False}).select("id", shape.alias("g"))
+    made = features_of(nodes, {"completeFeature": True, "byDocument": False}).select("id", shape.alias("g"))
     return made.select("id", F.col("g.type").alias("kind"), F.col("g.coordinates")[0].alias("x"), F.col("g.coordinates")[1].alias("y"))
 
 
@@ -516,4 +516,4 @@ def polygons_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("doc_id"), F.col("p_partkey").alias("k"), (F.col("p_partkey") % 50).alias("x"), (F.col("p_size") + 4).alias("s"))
     members = f"concat(array({way('outer', _OUTER, '0')}), CASE WHEN k % 2 = 0 THEN array({way('outer', _OUTER, '200')}) ELSE array() END, array({way('inner', _INNER, 'CASE WHEN k % 3 = 0 THEN 500 ELSE 0 END')}))"
     docs = _documents(rows, f"array(to_json(named_struct('type', 'relation', 'id', 1, 'members', {members})))")
-    return to_features(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
