@@ -426,7 +426,7 @@ def convert_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = "array_join(transform(p, v -> concat('<nd ref=\"', v.n, '\"/>')), '')"
     text = f"""concat('<?xml version="1.0"?><osm>', array_join({_XML_POINTS}, ''), '<way id="1" version="', size(p), '">', {refs}, '<tag k="name" v="A &#38; B"/></way></osm>')"""
     docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
-    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
+    return to_features(docs, {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
 
 
 @query(_POINTS + f"""SELECT 'order/' || k AS doc_id, 'relation/7' AS id, '{{"type":"MultiLineString","coordinates":[[' || {_LINE} || ']]}}' AS geometry,

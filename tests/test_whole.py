@@ -107,7 +107,7 @@ def exchanges(rows) -> int:
 
 
 #: Queries on documents, and the exchanges that making their documents takes.
-WHOLE = {"bare_geometry": 1, "super_relations": 1}
+WHOLE = {"bare_geometry": 1, "super_relations": 1, "convert_xml": 1}
 
 
 @pytest.mark.parametrize("name", WHOLE)
