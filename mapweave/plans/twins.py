@@ -437,7 +437,7 @@ def xml_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = f"""transform(slice(p, 1, size(p) - 1), v -> concat('<member type="way" ref="', v.n, '" role="">', {vertex.format("v")}, {vertex.format("p[v.n]")}, '</member>'))"""
     text = f"""concat('<osm><relation id="7"><bounds minlat="2" minlon="1.5" maxlat="4" maxlon="', size(p), '"/>', array_join({ways}, ''), '<tag k="route" v="bus"/></relation></osm>')"""
     docs = _orders(spark, sf_dir).select("doc_id", F.expr(text).alias("payload"))
-    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties", F.to_json("bbox").alias("bbox"))
+    return to_features(docs, {"completeFeature": True}).select("doc_id", "id", "geometry", "properties", F.to_json("bbox").alias("bbox"))
 
 
 @query("SELECT 'e' AS doc_id, event_id AS pos, CAST(user_id AS VARCHAR) AS id, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y, event_type AS name, event_id % 2 = 0 AS tagged FROM events WHERE value <> 0")
