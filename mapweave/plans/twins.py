@@ -401,7 +401,7 @@ def inline_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = "transform(slice(p, 1, size(p) - 1), v -> to_json(named_struct('type', 'way', 'ref', v.n, 'role', '', 'geometry', array(named_struct('lon', v.x, 'lat', v.y), named_struct('lon', p[v.n].x, 'lat', p[v.n].y)))))"
     node = "array(to_json(named_struct('type', 'node', 'ref', 9, 'role', 'label', 'lon', p[0].x + 1, 'lat', p[0].y + 1)))"
     relation = f"""array(concat('{{"type":"relation","id":1,"members":[', array_join(concat({way}, {node}), ','), ']}}'))"""
-    return features_of(to_elements(_documents(_orders(spark, sf_dir), relation)), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
+    return to_features(_documents(_orders(spark, sf_dir), relation), {"completeFeature": True}).select("doc_id", "id", "geometry", "properties")
 
 
 @query(_POINTS + f""", k AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
