@@ -514,6 +514,8 @@ def polygons_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"named_struct('type', 'way', 'ref', 1, 'role', '{role}', 'geometry', array({places}))"
 
     rows = table(spark, sf_dir, "part", "p_partkey", "p_size").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("doc_id"), F.col("p_partkey").alias("k"), (F.col("p_partkey") % 50).alias("x"), (F.col("p_size") + 4).alias("s"))
+    # a small file is read by one task
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     members = f"concat(array({way('outer', _OUTER, '0')}), CASE WHEN k % 2 = 0 THEN array({way('outer', _OUTER, '200')}) ELSE array() END, array({way('inner', _INNER, 'CASE WHEN k % 3 = 0 THEN 500 ELSE 0 END')}))"
     docs = _documents(rows, f"array(to_json(named_struct('type', 'relation', 'id', 1, 'members', {members})))")
-    return features_of(to_elements(docs), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return to_features(docs, {"completeFeature": True}).select("doc_id", "id", "geometry")
