@@ -412,7 +412,7 @@ def tagged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = "transform(p, v -> CASE WHEN v.n % 2 = 0 THEN to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y, 'tags', map('name', concat('n', v.n)))) ELSE to_json(named_struct('type', 'node', 'id', v.n, 'lon', v.x, 'lat', v.y)) END)"
     way = "array(to_json(named_struct('type', 'way', 'id', 1, 'nodes', transform(p, v -> v.n), 'tags', map('highway', 'path'))), '{\"type\":\"relation\",\"id\":1,\"members\":[{\"type\":\"way\",\"ref\":1,\"role\":\"outer\"}]}')"
     docs = _documents(_orders(spark, sf_dir), nodes, way)
-    made = features_of(to_elements(docs), {"completeFeature": True, "renderTagged": True, "excludeWay": False})
+    made = to_features(docs, {"completeFeature": True, "renderTagged": True, "excludeWay": False})
     return made.where("not of_relation").select("doc_id", "id", "geometry", "properties")
 
 
