@@ -218,7 +218,7 @@ def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.to_json(F.struct(F.lit("way").alias("type"), F.lit(1).alias("id"), F.transform("all", lambda x: x["n"]).alias("nodes")))
     payload = F.concat(F.lit('{"elements":['), way, F.lit(","), F.array_join(F.transform("all", lambda x: F.to_json(x["node"])), ","), F.lit("]}"))
     documents = grouped.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("doc_id"), payload.alias("payload"))
-    return features_of(to_elements(documents), {"completeFeature": True}).select("doc_id", "id", "geometry")
+    return to_features(documents, {"completeFeature": True}).select("doc_id", "id", "geometry")
 
 
 # Rows as elements

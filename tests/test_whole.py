@@ -107,7 +107,7 @@ def exchanges(rows) -> int:
 
 
 #: Queries on documents, and the exchanges that making their documents takes.
-WHOLE = {"bare_geometry": 1, "super_relations": 1, "convert_xml": 1, "xml_relations": 1, "inline_members": 1, "convert_relations": 1, "polygons_with_holes": 0, "tagged_features": 1, "first_geometry": 1}
+WHOLE = {"bare_geometry": 1, "super_relations": 1, "convert_xml": 1, "xml_relations": 1, "inline_members": 1, "convert_relations": 1, "polygons_with_holes": 0, "tagged_features": 1, "first_geometry": 1, "convert_documents": 1}
 
 
 @pytest.mark.parametrize("name", WHOLE)
