@@ -476,11 +476,13 @@ def point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(user_id AS VARCHAR) AS doc_id, CASE WHEN first IS NULL THEN '{"type":"FeatureCollection","features":[]}' ELSE '{"type":"MultiLineString","coordinates":[[[' || first % 100 || '.0,0.0],[' || first % 100 || '.0,1.0]]]}' END AS geojson FROM e""")
 def first_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as relations, some of them without a line."""
-    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value")
-    line = "CASE WHEN value > 50 THEN array(named_struct('type', 'way', 'ref', 1, 'role', '', 'geometry', array(named_struct('lon', event_id % 100, 'lat', 0), named_struct('lon', event_id % 100, 'lat', 1)))) ELSE array() END"
-    each = rows.select("user_id", "event_id", F.expr(f"to_json(named_struct('type', 'relation', 'id', event_id, 'members', {line}))").alias("json"))
-    grouped = each.groupBy(F.col("user_id").cast("string").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("event_id", "json"))).alias("all"))
-    return to_collections(_documents(grouped, "transform(all, x -> x.json)")).select("doc_id", "geojson")
+    rows = table(spark, sf_dir, "events", "event_id", "user_id", "value").select("user_id", F.struct("event_id", (F.col("value") > 50).alias("line")).alias("event"))
+    # numbers are dealt and not texts, to as many tasks as there may be: their bytes tell little of the work behind them
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
+    grouped = rows.groupBy("user_id").agg(F.sort_array(F.collect_list("event")).alias("all")).select(F.col("user_id").cast("string").alias("doc_id"), "all")
+    line = "CASE WHEN x.line THEN array(named_struct('type', 'way', 'ref', 1, 'role', '', 'geometry', array(named_struct('lon', x.event_id % 100, 'lat', 0), named_struct('lon', x.event_id % 100, 'lat', 1)))) ELSE array() END"
+    relations = f"transform(all, x -> to_json(named_struct('type', 'relation', 'id', x.event_id, 'members', {line})))"
+    return to_collections(_documents(grouped, relations)).select("doc_id", "geojson")
 
 
 @query("""

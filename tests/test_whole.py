@@ -3,12 +3,15 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from mapweave.api import to_collections, to_features
 from mapweave.functions.planar import double
 from mapweave.functions.rules import area_of, is_area
+from mapweave.operators import whole
+from mapweave.options import Options
 from mapweave.plans import twins
 from mapweave.sources.documents import from_objects
 
@@ -113,3 +116,30 @@ WHOLE = {"bare_geometry": 1, "super_relations": 1, "convert_xml": 1, "xml_relati
 @pytest.mark.parametrize("name", WHOLE)
 def test_documents_are_converted_where_they_are(spark, name):
     assert exchanges(twins.QUERIES[name](spark, "/root/testdata/sf0.001")) == WHOLE[name]
+
+
+def test_no_geometry_is_made_behind_the_first(monkeypatch):
+    """The first relation has none, of the others one is enough; a document may have many thousand."""
+    made, stitch = [], whole.stitch
+    monkeypatch.setattr(whole, "stitch", lambda ways: made.append(len(ways)) or stitch(ways))
+    line = {"type": "way", "ref": 1, "role": "", "geometry": [{"lon": 1, "lat": 2}, {"lon": 3, "lat": 4}]}
+    text = json.dumps({"elements": [{"type": "relation", "id": i, "members": [line] * (i > 0)} for i in range(9)]})
+    assert whole.collection(text, "json", Options()) == ('{"type":"MultiLineString","coordinates":[[[1.0,2.0],[3.0,4.0]]]}', None)
+    assert made == [0, 1]
+
+
+def test_first_geometry_deals_numbers(spark):
+    """Events are dealt to all tasks, few bytes or many, and become text behind the exchange."""
+    plan = twins.QUERIES["first_geometry"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchange, below = plan[plan.index("Exchange hashpartitioning") :].split("\n", 1)
+    assert "(user_id" in exchange and "REPARTITION_BY_NUM" in exchange
+    assert "ToJson" not in below and "collect_list" not in below
+
+
+def test_first_geometry_of_odd_rows(spark, tmp_path):
+    """Unknown users and values, ids that repeat or are negative, users with no line, one user with many events."""
+    rows = [(3, None, 60.0), (2, None, 70.0), (5, 1, 60.0), (5, 1, 10.0), (6, 1, 90.0), (7, 2, None), (8, 2, 50.0), (-205, 3, float("nan")), (1, 4, None), *((i, 9, 50.0 + i // 2900) for i in range(3000, 0, -1))]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = twins.QUERIES["first_geometry"](spark, str(tmp_path)).collect()
+    want = duckdb.execute(twins.ORACLE_SQL["first_geometry"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) == 6
